@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q01_packing", "q05_bpe"]
+MODULES = ["q01_packing", "q05_bpe", "q06_topk", "q07_sharding", "q09_token_files"]
 
 
 def modules():
