@@ -60,12 +60,16 @@ class Trie:
             for c in term:
                 node = node[0].setdefault(c, ({}, [None]))
             node[1][0] = term
-        # a term within k edits of a word shares one of its k + 1 parts with it, moved by k at most
-        self.parts: dict[int, set[str]] = {}
         self.edits = max((allowed_edits(t) for t in terms), default=0)
+        # a term within k edits of a word has one of its k + 1 parts in the word unchanged, moved by k at most
+        places: dict[int, dict[tuple[int, int], set[str]]] = {}
         for term in terms:
-            for part, _ in self._cut(term):
-                self.parts.setdefault(len(part), set()).add(part)
+            k = allowed_edits(term)
+            for part, at in self._cut(term):
+                for length in range(len(term) - k, len(term) + k + 1):
+                    for moved in range(max(0, at - k), at + k + 1):
+                        places.setdefault(length, {}).setdefault((moved, moved + len(part)), set()).add(part)
+        self.places = {n: [(a, b, frozenset(parts)) for (a, b), parts in x.items()] for n, x in places.items()}
 
     @staticmethod
     def _cut(term: str) -> list[tuple[str, int]]:
@@ -74,7 +78,7 @@ class Trie:
         return [(term[a:b], a) for a, b in zip(at, at[1:], strict=False)]
 
     def might(self, word: str) -> bool:
-        return any(word[i : i + n] in parts for n, parts in self.parts.items() for i in range(len(word) - n + 1))
+        return any(word[a:b] in parts for a, b, parts in self.places.get(len(word), ()))
 
     def nearest(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the closest accepted term: the automaton of `word` run down the trie."""
