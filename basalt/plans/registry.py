@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES = ["graph_queries", "check_queries", "trace_queries"]
 
 
 def modules():
