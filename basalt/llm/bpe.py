@@ -53,6 +53,26 @@ def as_byte_chars(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TO_CHARS)
 
 
+_UNSETTLED: list[re.Pattern] = []
+
+
+def unsettled(text: str) -> bool:
+    """Has the text code points that this Python's Unicode doesn't assign, or of private use?"""
+    if text.isascii():
+        return False
+    if not _UNSETTLED:
+        runs, start = [], None
+        for c in range(0x110001):
+            odd = c < 0x110000 and unicodedata.category(chr(c)) in ("Cn", "Co")
+            if odd and start is None:
+                start = c
+            elif not odd and start is not None:
+                runs.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+                start = None
+        _UNSETTLED.append(re.compile(f"[{''.join(runs)}]"))
+    return _UNSETTLED[0].search(text) is not None
+
+
 class MergeTable:
     """A vocabulary and its ranked merges."""
 
@@ -327,6 +347,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -355,8 +376,16 @@ class Encoder:
 
     def pieces(self, chunk: str) -> list[str]:
         """The matches of the word pattern in a chunk."""
+        if not chunk.isprintable() and unsettled(chunk):
+            return self._split_by_library(chunk)
         return WORD.findall(self.normalise(chunk)) if self.kind == "words" else BYTE.findall(chunk)
 
+    def _split_by_library(self, text: str) -> list[str]:
+        """Letters differ between versions of Unicode: the library's own splitter tells what it takes for one."""
+        lib = library(self.path)
+        text = lib.normalizer.normalize_str(text) if lib.normalizer else text
+        return [bytes(CHAR_BYTES[c] for c in w).decode() for w, _ in lib.pre_tokenizer.pre_tokenize_str(text)]
+
     def chunk_ids(self, chunk: str) -> list[int]:
         return [i for w in self.pieces(chunk) for i in self.word_ids(w)]
 
@@ -375,7 +404,7 @@ class Encoder:
         if self.kind == "words":
             return [c for c in SPACES.split(text) if c] if ODD_SPACES.search(text) else text.split()
         if _DOUBLE_SPACE.search(text) or text.endswith(" "):
-            return BYTE.findall(text)
+            return self._split_by_library(text) if unsettled(text) else BYTE.findall(text)
         first, *rest = text.split(" ")
         return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
 
