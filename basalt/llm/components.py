@@ -1,4 +1,4 @@
-"""Distributed union-find: connected components by least labels and pointer jumping."""
+"""Distributed union-find: connected components by hooking to least neighbours, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -9,26 +9,31 @@ from pyspark.sql import functions as F
 from .common import Stash
 
 
-def components(edges: DataFrame, stash: Stash, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stash: Stash, a: str = "a", b: str = "b") -> DataFrame:
     """(v, root): the least vertex of v's component, for every vertex of an edge. Edges with a null end are ignored.
 
-    A round gives each vertex the least root among its neighbours' roots, then follows that root's own root; so
-    labels travel ever farther, and a round's table in the shared folder is all that the next one needs.
+    A round hangs each vertex under its least neighbour (if lesser), shortens these trees to their roots by pointer
+    jumping, and contracts the edges to the roots: repeated edges fall together and inner ones vanish, so each
+    round's table is far smaller than the last. Rounds end when no edge is left; tables are in the shared folder.
     """
-    clean = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = stash.put(clean.unionByName(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, path = stash.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        lower = labels.join(near, labels["v"] == near["a"]).select("v", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        up = labels.select(F.col("v").alias("root"), F.col("root").alias("up"))
-        jumped, new_path = stash.write(lower.join(up, "root").select("v", "old", F.least("root", "up").alias("root")), "labels")
-        moved = jumped.where(F.col("root") != F.col("old")).limit(1).count()
-        stash.drop(path)
-        labels, path = jumped.select("v", "root"), new_path
-        if not moved:
-            return labels
-    raise RuntimeError(f"labels still moved after {most_rounds} rounds")
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    left = stash.put(ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+    labels: DataFrame | None = None
+    while labels is None or left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = stash.put(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")), "up")
+        while True:
+            above = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            jumped = stash.put(up.join(above, "p").select("v", F.col("p").alias("old"), F.col("pp").alias("p")), "up")
+            moved = jumped.where("old <> p").limit(1).count()
+            up = jumped.select("v", "p")
+            if not moved:
+                break
+        labels = up.select("v", F.col("p").alias("root")) if labels is None else stash.put(labels.join(up.select(F.col("v").alias("root"), F.col("p").alias("r")), "root", "left").select("v", F.coalesce("r", "root").alias("root")), "labels")
+        ca, cb = up.select(F.col("v").alias("a"), F.col("p").alias("ra")), up.select(F.col("v").alias("b"), F.col("p").alias("rb"))
+        met = left.join(ca, "a").join(cb, "b").where("ra <> rb")
+        left = stash.put(met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    return labels
 
 
 class Sets:
