@@ -28,6 +28,14 @@ def gather(table: pa.Table, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("blob").to_pylist()), dtype=dtype)
 
 
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (a, b), sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return a[keep], b[keep]
+
+
 def bitmap(ids: DataFrame, col: str) -> np.ndarray:
     """The ids' bits, as uint64 words; a row per word at most comes to the driver."""
     bit = ids.select(F.pmod(F.col(col), F.lit(BITS)).alias("p"))

@@ -35,21 +35,25 @@ def windows(items: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """n MinHash values (uint32) per list; lists without shingles get the largest value."""
+    """n MinHash values (uint32) per list; lists without shingles get the largest value.
+
+    The shingles' hashes are mixed already, so a random odd factor modulo 2^32 is enough to order them anew.
+    """
     rng = np.random.default_rng(seed)
     mult = (rng.integers(0, 1 << 32, n, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-    add = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
     out = np.full((len(counts), n), 0xFFFFFFFF, dtype=np.uint32)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    y = hashes.astype(np.uint32)
     for rows, part in _chunks(counts):
         full = np.flatnonzero(counts[rows])
         if not len(full):
             continue
         begin = (np.cumsum(counts[rows]) - counts[rows])[full]
-        px, py = x[part], y[part]
+        px, work = x[part], np.empty(part.stop - part.start, dtype=np.uint32)
+        got = np.empty((n, len(full)), dtype=np.uint32)
         for i in range(n):
-            out[rows.start + full, i] = np.minimum.reduceat((px + add[i] * py) * mult[i], begin)
+            np.multiply(px, mult[i], out=work)
+            np.minimum.reduceat(work, begin, out=got[i])
+        out[rows.start + full] = got.T
     return out
 
 
