@@ -336,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = lexicon(counts, rows)
     loose, clean = neighbours(counts, terms, "c")
     # the fit sees misspellings as new documents show them: it takes the clean words of the other half only
-    fitted = figures(_sampled(rows.where("half = 1")), ["toxic"], terms, *neighbours(counts, terms, "a")).collect()
+    fitted = stash.put(figures(_sampled(rows.where("half = 1")), ["toxic"], terms, *neighbours(counts, terms, "a")), "fit").limit(SAMPLE).collect()
     if not fitted:
         return Model(terms, loose, clean, PRIOR)
     x, y = np.array([r["f"] for r in fitted]), np.array([r["toxic"] for r in fitted], dtype=float)
@@ -344,8 +344,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _sampled(rows: DataFrame) -> DataFrame:
-    """At most SAMPLE rows: those whose id's hash is below a rate a little short of SAMPLE; the limit only guards."""
+    """About SAMPLE rows, rather fewer: those whose id's hash is below a rate. The caller's limit only guards."""
     n = rows.select("toxic").count()
     top = 1 << 20
     keep = top if n <= SAMPLE else int(top * SAMPLE * 0.95 / n)
-    return rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(top)) < keep).limit(SAMPLE)
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(top)) < keep)
