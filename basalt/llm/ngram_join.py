@@ -185,8 +185,20 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out
 
 
+def forest(hit: np.ndarray) -> np.ndarray:
+    """Per vertex of a symmetric adjacency matrix: the first vertex of its component. Each row is read once."""
+    root = np.full(len(hit), -1, dtype=np.int64)
+    for v in range(len(hit)):
+        front = np.array([v]) if root[v] < 0 else np.zeros(0, np.int64)
+        while len(front):
+            root[front] = v
+            front = np.flatnonzero(hit[front].any(axis=0) & (root < 0))
+    return root
+
+
 def exact_links(members: DataFrame, similarity: float) -> DataFrame:
-    """members: task, root, i, j, block, cls, copies, shingles. Returns cls, links (documents), to (least linked cls)."""
+    """members: task, root, i, j, block, cls, copies, shingles. Returns cls, links (documents), to: one cls of all that
+    are linked with it inside the task, directly or not, so that the edges (cls, to) span every component of links."""
 
     def compare(key, table):
         root, block, cls, copies, blobs = (table.column(c).to_pylist() for c in ("root", "block", "cls", "copies", "shingles"))
@@ -210,13 +222,13 @@ def exact_links(members: DataFrame, similarity: float) -> DataFrame:
             hit = both >= similarity * (n[a][:, None] + n[b][None, :] - both) - 1e-9
             if not split:
                 np.fill_diagonal(hit, False)
-            sides = [(rows, rows, hit)] if not split else [(rows[:split], rows[split:], hit), (rows[split:], rows[:split], hit.T)]
-            for left, right, h in sides:
-                weight = np.array([copies[r] for r in right])
-                links = h @ weight
-                names = [cls[r] for r in right]
-                for k in np.flatnonzero(h.any(axis=1)).tolist():
-                    out.append((cls[left[k]], int(links[k]), min(names[j] for j in np.flatnonzero(h[k]))))
+            if split:
+                both_ways = np.zeros((len(rows), len(rows)), dtype=bool)
+                both_ways[:split, split:], both_ways[split:, :split] = hit, hit.T
+                hit = both_ways
+            links, to = hit @ w, forest(hit)
+            for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                out.append((cls[rows[k]], int(links[k]), cls[rows[to[k]]]))
         cols = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"cls": pa.array(cols[0], pa.binary()), "links": pa.array(cols[1], pa.int64()), "to": pa.array(cols[2], pa.binary())})
 

@@ -62,6 +62,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: (root[i], len(links[i])) for i in links}
 
 
+@pytest.mark.parametrize("block", [800, 3])
+def test_chains_of_near_duplicates_are_one_class(spark, monkeypatch, block):
+    """Of eight texts each is linked with the next one only; a small block makes the links cross blocks."""
+    from basalt.llm import ngram_join
+
+    ship(spark)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = []
+    for c in range(6):
+        words = [f"c{c}w{i}" for i in range(104 + 7 * 8)]
+        rows += [(c * 8 + k, " ".join(words[k * 8 : k * 8 + 104])) for k in range(8)]
+    got = {r.doc_id: (r.class_id, r.links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 8, 1 if i % 8 in (0, 7) else 2) for i in range(48)}
+
+
 def test_depth_keeps_the_target():
     d = matched_depth(0.8, 24, 8, 0.9999)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
