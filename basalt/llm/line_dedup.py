@@ -1,11 +1,14 @@
 """Fuzzy line deduplication: one line of each group of near-equal lines stays in the whole collection.
 
-Lines are '\\n'-split; blank ones (white space only) are never removed. Equal lines are one class. Classes whose
-character-shingle signatures share a band are candidates, verified by exact Jaccard similarity of their shingle sets;
-verified pairs are joined by distributed union-find. Of each component the first line by (id, place) stays.
-
-Bands: BANDS of ROWS values; a pair of similarity s is met with chance 1 - (1 - s^ROWS)^BANDS: 0.9977 at 0.8. In a
-band, each member is held against the least one and its neighbour in order.
+Lines are '\\n'-split; blank ones (white space only) are never removed. Equal lines are one class. Lines whose
+character-shingle signatures share a band with another's are found first; only these are sent again, with a sketch of
+64 four-bit values. In each band, all pairs of members are then held against each other unless they are joined
+already, and those that the sketch doesn't rule out are joined to loose groups by distributed union-find. Inside a
+loose group every pair is compared by exact Jaccard similarity of its shingle sets, in blocks of bounded size, and what
+is similar is joined by union-find again. Of each component the first line by (id, place) stays.
+
+Bands: BANDS of ROWS values; a pair of similarity s shares one with chance 1 - (1 - s^ROWS)^BANDS: 0.9977 at 0.8. The
+sketch rules out a pair of 0.8 only if its share of equal values is five standard deviations below the expected one.
 Nulls: a null text stays null. Documents with equal id and equal text are one document: their lines stay or go alike.
 Other columns pass through.
 """
@@ -24,12 +27,16 @@ from .blobs import bitmap, deal, gather, inside, unique_pairs
 from .common import Stash, width
 from .components import components
 from .minhash import band_keys, signatures, windows
+from .ngram_join import LEAST_SKETCH, exact_links, in_blocks
+from .ngram_join import _nibbles as nibbles
+from .ngram_join import _share as share
 from .tokens import free_name, slices
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 6, 0.8
 ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
-#: Entries that one task sorts, about.
-TASK_ENTRIES = 4_000_000
+SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("sketch", "V32")])
+#: Entries that one task sorts, about; entries with sketches; lines of small groups that a task compares; rows at once.
+TASK_ENTRIES, SKETCHED_ENTRIES, TASK_LINES, CHUNK = 4_000_000, 1_000_000, 20_000, 1 << 16
 
 
 def line_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,20 +44,10 @@ def line_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return windows(codes, np.fromiter(map(len, lines), np.int64, len(lines)), k)
 
 
-def shingle_sets(lines: list[str]) -> dict[str, set[int]]:
-    hashes, counts = line_shingles(lines, SHINGLE)
-    ends = np.cumsum(counts).tolist()
-    values = hashes.tolist()
-    return {x: set(values[e - n : e]) for x, e, n in zip(lines, ends, counts.tolist(), strict=True)}
-
-
-def similar(a: set[int], b: set[int], least: float) -> bool:
-    """Exact Jaccard similarity; sets of too different size are not met at all."""
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    if not small or len(small) < least * len(large):
-        return False
-    both = len(small & large)
-    return both >= least * (len(a) + len(b) - both)
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Per line (UTF-8): the sorted distinct hashes of its shingles."""
+    hashes, counts = line_shingles([x.decode("utf-8", "surrogatepass") for x in lines], SHINGLE)
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
 
 
 def line_id(line: str) -> bytes:
@@ -68,8 +65,8 @@ def _distinct_lines(batch: pa.RecordBatch) -> Iterator[list[str]]:
         yield [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
 
 
-def candidates(texts: DataFrame, parts: int) -> DataFrame:
-    """texts: one column. (a, b): first eight bytes of the digests of lines that share a band."""
+def in_company(texts: DataFrame, parts: int) -> DataFrame:
+    """texts: one column. h: first eight bytes of the digests of lines that share a band with another line."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,19 +83,18 @@ def candidates(texts: DataFrame, parts: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         e = gather(table, ENTRY)
         key, ids = unique_pairs(e["key"], e["id"])
-        same = np.concatenate([[False], key[1:] == key[:-1]])[: len(key)]
-        first = np.flatnonzero(~same)
-        least = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
-        hit = np.flatnonzero(same)
-        a, b = unique_pairs(np.concatenate([least[hit], ids[hit - 1]]), np.concatenate([ids[hit], ids[hit]]))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        same = key[1:] == key[:-1]
+        met = np.zeros(len(key), dtype=bool)
+        met[1:] |= same
+        met[:-1] |= same
+        return pa.table({"h": pa.array(np.unique(ids[met]))})
 
-    return texts.mapInArrow(emit, "part int, blob binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return texts.mapInArrow(emit, "part int, blob binary").groupBy("part").applyInArrow(meet, "h long").distinct()
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): digests of the candidate lines whose shingle sets are that similar."""
-    bits = texts.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("x")).union(pairs.select("b")), "x"))
+def lines_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, cls, line): the lines with these ids, and some others; cls is the whole digest."""
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(ids, "h"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,20 +106,75 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
                 hit = np.flatnonzero(inside(bits.value, short))
                 yield pa.RecordBatch.from_arrays([pa.array(short[hit]), pa.array([digests[i] for i in hit], pa.binary()), pa.array([lines[i] for i in hit], pa.string())], names=["h", "cls", "line"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return texts.mapInArrow(fetch, "h long, cls binary, line string").groupBy("h", "cls").agg(F.first("line").alias("line"))
+
+
+def alike(sketch: np.ndarray) -> np.ndarray:
+    """Per row: the first row that it is joined with, directly or not. Each row meets all those not yet joined."""
+    root = np.arange(len(sketch))
+    left, rest = root[1:], sketch[1:]
+    first, todo = 0, [0]
+    while len(left):
+        if not todo:
+            first, left, rest = int(left[0]), left[1:], rest[1:]
+            todo = [first]
+            continue
+        near = share(sketch[todo.pop()], rest) >= LEAST_SKETCH
+        if near.any():
+            root[left[near]] = first
+            todo += left[near].tolist()
+            left, rest = left[~near], rest[~near]
+    return root
+
+
+def loose_links(lines: DataFrame, parts: int) -> DataFrame:
+    """lines: (h, line). (a, b): ids that a band joins: a spanning forest of its pairs that the sketch doesn't rule out."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep: list[bool] = []
-            for r in slices(xs):  # the sets of a slice's lines are made once, however many pairs they are in
-                sets = shingle_sets(list({*xs[r.start : r.stop], *ys[r.start : r.stop]}))
-                keep += [similar(sets[xs[i]], sets[ys[i]], similarity) for i in r]
-            flags = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(flags), batch.column(1).filter(flags)], names=["a", "b"])
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            for r in slices(texts):
+                sig = signatures(*line_shingles(texts[r.start : r.stop], SHINGLE), BANDS * ROWS)
+                keys = band_keys(sig, ROWS)
+                e = np.empty(keys.shape, dtype=SKETCHED)
+                e["key"] = keys.astype(np.uint32)
+                e["id"] = ids[r.start : r.stop, None]
+                e["sketch"] = np.ascontiguousarray(nibbles(sig)).view("V32")
+                cols = list(zip(*deal(keys.ravel(), e.ravel(), parts), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "blob"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        e = gather(table, SKETCHED)
+        e = e[np.lexsort((e["id"], e["key"]))]
+        new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])])
+        e = e[new]
+        sketch = np.frombuffer(e["sketch"].tobytes(), np.uint8).reshape(-1, 32)
+        first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
+        sizes = np.diff(np.append(first, len(e)))
+        root = np.repeat(first, sizes)
+        far = np.concatenate([share(sketch[root[k : k + CHUNK]], sketch[k : k + CHUNK]) < LEAST_SKETCH for k in range(0, len(e), CHUNK)])
+        root[far] = np.flatnonzero(far)
+        # where all are joined with the first one, or there are only two, nothing is left to meet
+        for k in np.flatnonzero((np.add.reduceat(far, first, dtype=np.int64) > 0) & (sizes > 2)).tolist():
+            lo, hi = int(first[k]), int(first[k] + sizes[k])
+            root[lo:hi] = lo + alike(sketch[lo:hi])
+        hit = np.flatnonzero(root != np.arange(len(e)))
+        a, b = unique_pairs(e["id"][root[hit]], e["id"][hit])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return lines.select("h", "line").mapInArrow(emit, "part int, blob binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+
 
-    lines = texts.mapInArrow(fetch, "h long, cls binary, line string").groupBy("h", "cls").agg(F.first("line").alias("line"))
-    side = lambda n: lines.select(F.col("h").alias(n), F.col("cls").alias(f"{n}_cls"), F.col("line").alias(f"{n}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_cls", "b_cls", "a_line", "b_line").where("a_cls <> b_cls")
-    return both.mapInArrow(check, "a binary, b binary")
+def similar_lines(texts: DataFrame, entries: int, similarity: float, stash: Stash) -> DataFrame:
+    """(a, b): digests; edges that span each component of lines that are that similar. entries: of the bands, about."""
+    n = width(texts.sparkSession)
+    lines = stash.put(lines_of(texts, stash.put(in_company(texts, max(n, -(-entries // TASK_ENTRIES))), "company")), "lines")
+    count = lines.count()
+    groups = components(stash.put(loose_links(lines, max(n, -(-count * BANDS // SKETCHED_ENTRIES))), "loose"), stash)
+    members = lines.join(groups.select(F.col("v").alias("h"), "root"), "h")
+    members = stash.put(members.select("root", "cls", F.lit(1).alias("copies"), F.col("line").cast("binary").alias("shingles")), "members")
+    linked = exact_links(in_blocks(members, max(n, -(-count // TASK_LINES))), similarity, shingle_sets)
+    return linked.select(F.col("cls").alias("a"), F.col("to").alias("b"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
@@ -137,9 +188,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
     placed = stash.put(split.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("id", "th", "place", F.unhex(F.md5(F.col("line").cast("binary"))).alias("cls")).distinct(), "places")
-    parts = max(width(spark), -(-placed.count() * BANDS // TASK_ENTRIES))
-    pairs = stash.put(candidates(texts, parts), "pairs")
-    comp = components(verified(texts, pairs, similarity), stash)
+    comp = components(similar_lines(texts, placed.count() * BANDS, similarity, stash), stash)
     classes = placed.groupBy("cls").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.count("*").alias("n"))
     grouped = classes.join(comp, classes["cls"] == comp["v"], "left").where("n > 1 or root is not null").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))

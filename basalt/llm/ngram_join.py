@@ -16,7 +16,7 @@ row is a document. Columns beside id and text are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,8 +196,23 @@ def forest(hit: np.ndarray) -> np.ndarray:
     return root
 
 
-def exact_links(members: DataFrame, similarity: float) -> DataFrame:
-    """members: task, root, i, j, block, cls, copies, shingles. Returns cls, links (documents), to: one cls of all that
+def _frombytes(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype="<u8") for b in blobs]
+
+
+def in_blocks(members: DataFrame, n_tasks: int) -> DataFrame:
+    """members: root, cls and more. A row for each pair of blocks (i, j) that a member's group compares it in; small
+    groups are dealt to n_tasks tasks."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
+    dealt = members.join(sizes, "root").where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.xxhash64("root").bitwiseOR(F.lit(1 << 62)))
+    return dealt.withColumn("task", task).withColumn("p", F.explode(pairs)).select("task", "root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "cls", "copies", "shingles")
+
+
+def exact_links(members: DataFrame, similarity: float, sets_of: Callable[[list[bytes]], list[np.ndarray]] = _frombytes) -> DataFrame:
+    """members: task, root, i, j, block, cls, copies, shingles (which sets_of reads). Returns cls, links (documents), to: one cls of all that
     are linked with it inside the task, directly or not, so that the edges (cls, to) span every component of links."""
 
     def compare(key, table):
@@ -215,7 +230,7 @@ def exact_links(members: DataFrame, similarity: float) -> DataFrame:
                     continue
             else:
                 split = 0
-            sets = [np.frombuffer(blobs[r], dtype="<u8") for r in rows]
+            sets = sets_of([blobs[r] for r in rows])
             n, w = np.array([len(s) for s in sets], dtype=np.float64), np.array([copies[r] for r in rows])
             both = overlaps(sets, split).astype(np.float64)
             a, b = (slice(None), slice(None)) if not split else (slice(0, split), slice(split, None))
@@ -264,14 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = docs.select(text_col).mapInArrow(fetch, "h long, cls binary, shingles binary").groupBy("h", "cls").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(groups.select(F.col("v").alias("h"), "root"), "h")
     members = stash.put(sets.join(classes.select("cls", "copies"), "cls").select("root", "cls", "copies", "shingles"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
     n_tasks = max(width(spark), -(-members.count() // TASK_DOCS))
-    dealt = members.join(sizes, "root").where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.xxhash64("root").bitwiseOR(F.lit(1 << 62)))
-    dealt = dealt.withColumn("task", task).withColumn("p", F.explode(pairs)).select("task", "root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "cls", "copies", "shingles")
-    linked = stash.put(exact_links(dealt, similarity), "links")
+    linked = stash.put(exact_links(in_blocks(members, n_tasks), similarity), "links")
     groups2 = components(linked.select(F.col("cls").alias("a"), F.col("to").alias("b")), stash)
     counted = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.join(counted, "cls", "left").join(groups2.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))

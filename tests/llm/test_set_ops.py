@@ -93,6 +93,29 @@ def test_line_dedup(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_one_template_equal_brute_force(spark):
+    """Many clusters of two or three lines (alike by 0.82) share a template (alike by 0.75), so bands mix clusters."""
+    ship(spark)
+    rng = random.Random(11)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, lines = name(300), []
+    for c in range(150):
+        own = template + name(14)
+        lines += [own + name(34) for _ in range(2 + c % 2)]
+    rng.shuffle(lines)
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    root = list(range(len(lines)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) == 150
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in dedup_lines(docs).collect() if not r.removed}
+    assert got == set(root)
+
+
 def test_top_k_equals_brute_force(spark):
     ship(spark)
     rng = np.random.default_rng(0)
