@@ -29,8 +29,8 @@ from .bpe import Memo
 from .common import Stash
 
 FOLDS = 5
-#: Rows that the logistic model is fitted on at most, terms of the lexicon, known clean neighbours, labels to broadcast.
-SAMPLE, MAX_TERMS, MAX_CLEAN, SMALL_LABELS = 20_000, 2_000, 50_000, 1_000_000
+#: Rows that the logistic model is fitted on at most, terms of the lexicon, labels to broadcast.
+SAMPLE, MAX_TERMS, SMALL_LABELS = 20_000, 2_000, 1_000_000
 LEAST_LOG_RATIO, WINDOW, CROWDED = 2.0, 8, 3
 #: Fixed values.
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‚‘’…-–—*_~`|/\\#%&+="
@@ -265,11 +265,14 @@ def lexicon(counts: DataFrame, rows: DataFrame) -> list[str]:
     return best(contexts(rows, first), MAX_TERMS) if first else []
 
 
-def neighbours(counts: DataFrame, terms: list[str], by: str) -> tuple[list[str], list[str]]:
-    """(loose, clean): terms that stand alone among the words of clean documents, and the clean words near those.
+def neighbours(counts: DataFrame, terms: list[str], by: str, stash: Stash) -> tuple[list[str], list[str]]:
+    """(loose, clean): terms whose misspellings tell something, and all clean words near those.
 
-    A term with CROWDED or more clean words inside its automaton says nothing when misspelled, so it only counts as
-    it is. Of the clean words MAX_CLEAN at most are taken, the most frequent.
+    Known clean words are no misspellings, so what matters is how many documents hold other words inside a term's
+    automaton. Of new clean documents that share is about the number of its words that one clean document holds, over
+    all clean documents (Good and Turing); of toxic ones, it is counted over the words that clean documents lack. A term
+    is crowded, and only counts as it is, if the clean share is the greater one and CROWDED such words show it. Shares
+    don't grow with the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,14 +280,18 @@ def neighbours(counts: DataFrame, terms: list[str], by: str) -> tuple[list[str],
         for batch in batches:
             near = [s.trie.nearest(w) if len(w) >= 4 and w not in s.terms else None for w in batch.column(0).to_pylist()]
             hit = pa.array([x is not None for x in near], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit), pa.array([x[1] for x in near if x], pa.string())], names=["word", "n", "term"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(hit) for i in range(3)], pa.array([x[1] for x in near if x], pa.string())], names=["word", "n", "t", "term"])
 
     if not terms:
         return [], []
-    near = counts.where((F.col("word") != "") & (F.col(by) > 0)).select("word", F.col(by).alias("n")).mapInArrow(run, "word string, n long, term string")
-    rows = near.orderBy(F.desc("n"), "word").limit(MAX_CLEAN).collect()
-    crowd = Counter(r["term"] for r in rows)
-    return [t for t in terms if crowd[t] < CROWDED], sorted(r["word"] for r in rows if crowd[r["term"]] < CROWDED)
+    total = counts.where("word = ''").select(F.col(by).alias("n"), "t").first()
+    seen = counts.where((F.col("word") != "") & ((F.col(by) > 0) | (F.col("t") > 0))).select("word", F.col(by).alias("n"), "t")
+    near = stash.put(seen.mapInArrow(run, "word string, n long, t long, term string"), "near")
+    sums = near.groupBy("term").agg(F.count_if(F.col("n") == 1).alias("once"), F.sum(F.when(F.col("n") == 0, F.col("t")).otherwise(0)).alias("t"))
+    share = lambda k, n: (k + 0.5) / (n + 1.0)
+    crowded = {r["term"] for r in sums.collect() if r["once"] >= CROWDED and share(r["once"], total["n"]) > share(r["t"], total["t"])}
+    known = near.where("n > 0").select("word", "term").toArrow().to_pydict()
+    return [t for t in terms if t not in crowded], sorted(w for w, t in zip(known["word"], known["term"], strict=True) if t not in crowded)
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 0.05, rounds: int = 50) -> np.ndarray:
@@ -334,9 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = training_rows(docs, labels, id_col, text_col)
     counts = stash.put(word_counts(rows), "counts")
     terms = lexicon(counts, rows)
-    loose, clean = neighbours(counts, terms, "c")
+    loose, clean = neighbours(counts, terms, "c", stash)
     # the fit sees misspellings as new documents show them: it takes the clean words of the other half only
-    fitted = stash.put(figures(_sampled(rows.where("half = 1")), ["toxic"], terms, *neighbours(counts, terms, "a")), "fit").limit(SAMPLE).collect()
+    fitted = stash.put(figures(_sampled(rows.where("half = 1")), ["toxic"], terms, *neighbours(counts, terms, "a", stash)), "fit").limit(SAMPLE).collect()
     if not fitted:
         return Model(terms, loose, clean, PRIOR)
     x, y = np.array([r["f"] for r in fitted]), np.array([r["toxic"] for r in fitted], dtype=float)

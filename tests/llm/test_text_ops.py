@@ -133,3 +133,21 @@ def test_toxicity_learns(spark):
     assert all(got[i] == (i % 4 == 0) for i in range(400)) and got[900] == got[902] == 0
     empty = train(docs.limit(0), labels)
     assert empty.score(docs).count() == docs.count()
+
+
+def test_misspellings_count_whatever_the_corpus_size(spark):
+    """Ten and a thousand times the documents, with as many times the rare clean words near a term; no neighbour is cut."""
+    import itertools
+
+    from basalt.llm.common import Stash, ship
+    from basalt.llm.toxicity import neighbours
+
+    ship(spark)
+    letters, term = "abcdefghijklmnopqrstuvwxyz0123456789", "stupidhead"
+    near = [term[:i] + x + term[i + 1 : j] + y + term[j + 1 :] for i, j in itertools.combinations(range(10), 2) for x in letters if x != term[i] for y in letters if y != term[j]]
+    for size, words in ((10, 2), (1000, 200), (100_000, 54_000)):
+        rows = [("", 100 * size, 1000 * size, 500 * size), ("stupidheadd", 20 * size, 0, 0), *[(w, 0, 1 if k < size // 5 else 5, 1) for k, w in enumerate(near[:words])]]
+        loose, clean = neighbours(spark.createDataFrame(rows, "word string, t long, c long, a long"), [term], "c", Stash(spark, "t"))
+        assert loose == [term] and clean == sorted(near[:words])
+    crowd = [("", 100, 1000, 500), *[(w, 0, 1, 1) for w in near[:50]]]
+    assert neighbours(spark.createDataFrame(crowd, "word string, t long, c long, a long"), [term], "c", Stash(spark, "t")) == ([], [])
