@@ -177,22 +177,46 @@ def path_confidence(paths: DataFrame, by: list[str], confidence: str) -> DataFra
     return paths.groupBy(*by).agg(F.product(confidence).alias("confidence"))
 
 
-def set_cover(covers: DataFrame, costs: DataFrame | None = None, most: int = 50) -> DataFrame:
-    """Greedy cover. covers: node, unit; costs: node, cost. Picks by (gain / cost, gain, least node); a row per pick:
-    round, node, gain. One bounded row comes to the driver each round; what is cut off by `most` stays uncovered."""
+def set_cover(covers: DataFrame, costs: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Greedy cover. covers: node, unit; costs: node, cost. Picks by (gain / cost, gain, least node) until no unit is
+    left, or `most` picks; a row per pick: round, node, gain. Nulls are no nodes and no units.
+
+    A node that comes before all nodes it shares a unit with keeps its gain until its turn, since gains only shrink; so
+    all such nodes are picked at once, and sorting the picks gives the greedy order. With `most`, one bounded row comes
+    to the driver for each pick.
+    """
+    from pyspark.sql import Window
+
     rounds = Rounds(covers.sparkSession, "cover")
-    left = rounds.put(covers.distinct())
-    picks: list[tuple[int, str, int]] = []
-    for k in range(1, most + 1):
+    left = rounds.put(covers.select("node", "unit").where("node is not null and unit is not null").distinct())
+
+    def ranked(left: DataFrame) -> DataFrame:
         gain = left.groupBy("node").agg(F.count("*").alias("gain"))
         gain = gain.join(costs, "node", "left") if costs is not None else gain.withColumn("cost", F.lit(1.0))
-        best = gain.withColumn("ratio", F.col("gain") / F.greatest(F.coalesce("cost", F.lit(1.0)), F.lit(1e-9))).orderBy(F.desc("ratio"), F.desc("gain"), "node").first()
-        if best is None:
-            break
-        picks.append((k, best["node"], best["gain"]))
-        hit = left.where(F.col("node") == best["node"]).select("unit")
+        return gain.select("node", "gain", (F.col("gain") / F.greatest(F.coalesce("cost", F.lit(1.0)), F.lit(1e-9))).alias("ratio"))
+
+    if most is not None:
+        picks: list[tuple[int, str, int]] = []
+        for k in range(1, most + 1):
+            best = ranked(left).orderBy(F.desc("ratio"), F.desc("gain"), "node").first()
+            if best is None:
+                break
+            picks.append((k, best["node"], best["gain"]))
+            hit = left.where(F.col("node") == best["node"]).select("unit")
+            left = rounds.put(left.join(hit, "unit", "left_anti").select("node", "unit"))
+        return covers.sparkSession.createDataFrame(picks, "round int, node string, gain long")
+    done: DataFrame | None = None
+    while done is None or left.limit(1).count():
+        rank = ranked(left).select("node", F.struct((-F.col("ratio")).alias("r"), (-F.col("gain")).alias("g"), F.col("node").alias("n")).alias("key"))
+        edges = left.join(rank, "node")
+        ahead = edges.groupBy("unit").agg(F.min("key").alias("first"))
+        first = edges.join(ahead, "unit").groupBy("node", "key").agg(F.bool_and(F.col("key") == F.col("first")).alias("free"))
+        found = rounds.put(first.where("free").select("node", F.col("key.r").alias("r"), (-F.col("key.g")).alias("gain")))
+        done = found if done is None else done.unionByName(found)
+        hit = left.join(found.select("node"), "node", "left_semi").select("unit").distinct()
         left = rounds.put(left.join(hit, "unit", "left_anti").select("node", "unit"))
-    return covers.sparkSession.createDataFrame(picks, "round int, node string, gain long")
+    place = F.row_number().over(Window.orderBy("r", F.desc("gain"), "node"))
+    return done.select(place.alias("round"), "node", "gain")
 
 
 def skyline(rows: DataFrame, key: str, low: str, high: str) -> DataFrame:

@@ -131,9 +131,9 @@ def set_cover_round1(spark, sf_dir):
 
 @query()
 def set_cover(spark, sf_dir):
-    """The first ten picks of the greedy cover of parts by suppliers."""
+    """The greedy cover of parts by suppliers, until no part is left."""
     cover = g_edges(spark, sf_dir).where("kind = 'def_use'").select(F.col("src").alias("node"), F.col("dst").alias("unit"))
-    return ops.set_cover(cover, most=10)
+    return ops.set_cover(cover)
 
 
 @query("""SELECT p_partkey AS part, p_retailprice AS price, p_size AS size FROM part p WHERE NOT EXISTS (

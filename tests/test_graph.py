@@ -42,6 +42,22 @@ def test_empty_edges(spark):
     assert g.strong_components(e).count() == 0
 
 
+def test_set_cover_equals_greedy(spark):
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(120):03}", f"u{rng.randrange(400):03}") for _ in range(900)] + [(f"z{i:02}", f"own{i}") for i in range(60)]
+    left, want = {}, []
+    for node, unit in pairs:
+        left.setdefault(node, set()).add(unit)
+    while any(left.values()):
+        node = min(left, key=lambda n: (-len(left[n]), n))
+        want.append((len(want) + 1, node, len(left[node])))
+        left = {n: u - left[node] for n, u in left.items()}
+    assert len(want) > 50
+    covers = spark.createDataFrame([*pairs, ("n000", None), (None, "u000")], "node string, unit string")
+    assert sorted(tuple(r) for r in g.set_cover(covers).collect()) == want
+    assert sorted(tuple(r) for r in g.set_cover(covers, most=3).collect()) == want[:3]
+
+
 CASES = [
     ("TARGET", "FAIL", "PASS", True, "TARGET_FIXED"), ("TARGET", "FAIL", "FAIL", True, "TARGET_STILL_FAILING"),
     ("TARGET", "PASS", "FAIL", True, "TARGET_REGRESSED"), ("TARGET", "PASS", "PASS", True, "PASS_PRESERVED"),
