@@ -108,6 +108,15 @@ def path_confidence(spark, sf_dir):
     return ops.path_confidence(rows, ["node"], "confidence").select("node", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"""WITH {G} SELECT o.src AS node, round(exp(sum(ln(greatest(i.confidence, 1e-9)))), 6) AS confidence FROM g o JOIN g i ON i.src = o.dst WHERE o.kind = 'triggers' GROUP BY o.src""")
+def path_confidence_all(spark, sf_dir):
+    """path_confidence of every customer, not of the five that its SQL names."""
+    e = g_edges(spark, sf_dir)
+    asked = e.where("kind = 'triggers'").select(F.col("src").alias("node"), F.col("dst").alias("mid"))
+    rows = asked.join(e.select(F.col("src").alias("mid"), "confidence"), "mid")
+    return ops.path_confidence(rows, ["node"], "confidence").select("node", F.round("confidence", 6).alias("confidence"))
+
+
 @query(f"""WITH {G}, cover AS (SELECT DISTINCT src AS node, dst AS unit FROM g WHERE kind = 'def_use'),
 blast AS (SELECT node, count(*) AS coverage FROM cover GROUP BY node), degree AS (SELECT dst AS unit, count(*) AS uses FROM g GROUP BY dst)
 SELECT node, round(CAST(10.0 * coverage - 0.05 * sum(uses) AS DOUBLE), 4) AS score FROM cover JOIN blast USING (node) JOIN degree USING (unit) GROUP BY node, coverage""")
