@@ -79,6 +79,14 @@ def artifact_integrity(spark, sf_dir):
     return claims.join(stored, "parent", "left_anti").select("artifact", "parent")
 
 
+@query("SELECT event_id AS artifact, event_id + 7 AS parent FROM events WHERE event_id + 7 NOT IN (SELECT event_id FROM events WHERE event_type <> 'click')")
+def artifact_integrity_all(spark, sf_dir):
+    """artifact_integrity of every claim, not of one in eleven as in its SQL."""
+    e = trace(spark, sf_dir)
+    stored = e.where("kind <> 'click'").select(F.col("event_id").alias("parent"))
+    return e.select(F.col("event_id").alias("artifact"), (F.col("event_id") + 7).alias("parent")).join(stored, "parent", "left_anti").select("artifact", "parent")
+
+
 @query("SELECT p_partkey AS part, 'part-' || substr(sha256('[\"' || p_name || '\"]'), 1, 24) AS id, sha256(p_name) AS digest FROM part")
 def stable_id_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), tx.stable_id("part", F.col("p_name")).alias("id"), F.sha2("p_name", 256).alias("digest"))
@@ -178,6 +186,23 @@ def enclosing_location(spark, sf_dir):
     return inside.groupBy("file", "point").agg(F.min_by("node", F.struct(F.col("hi") - F.col("lo"), "lo")).alias("enclosing"))
 
 
+_WIDE = 400
+
+
+@query("""WITH n AS (SELECT user_id AS file, event_id AS node, event_id AS lo, event_id + (event_id % 400) AS hi FROM events), p AS (SELECT user_id AS file, event_id AS point FROM events)
+SELECT file, point, arg_min(node, (hi - lo, lo)) AS enclosing FROM p JOIN n USING (file) WHERE point BETWEEN lo AND hi GROUP BY ALL""")
+def enclosing_location_all(spark, sf_dir):
+    """enclosing_location of every point, not of one in ten as in its SQL. Spans are cut into range buckets, so that a
+    point of a hot file meets only spans near it."""
+    e = trace(spark, sf_dir)
+    bucket = lambda c: F.floor(F.col(c) / _WIDE)
+    spans = e.select(F.col("bundle").alias("file"), F.col("event_id").alias("node"), F.col("event_id").alias("lo"), (F.col("event_id") + F.col("event_id") % 400).alias("hi"))
+    spans = spans.where("lo <= hi").withColumn("bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    points = e.select(F.col("bundle").alias("file"), F.col("event_id").alias("point")).withColumn("bucket", bucket("point"))
+    inside = points.join(spans, ["file", "bucket"]).where("point between lo and hi")
+    return inside.groupBy("file", "point").agg(F.min_by("node", F.struct(F.col("hi") - F.col("lo"), "lo")).alias("enclosing"))
+
+
 _RECENT = "CAST(round_even(3.0 * (turn - lo) / greatest(hi - lo, 1), 0) AS BIGINT)"
 
 
