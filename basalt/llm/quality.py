@@ -23,6 +23,7 @@ SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 0.3
+#: MAX_STRATA: strata with cutoffs that are broadcast; more are joined by a shuffle.
 ALPHA, DELTA, MAX_STRATA = 0.005, 0.05, 256
 
 #: (rule, numerator, denominator, cutoffs from the mildest to the strictest). Fixed values.
@@ -80,16 +81,17 @@ def lower_tail(x: Column, n: Column, p: float) -> Column:
     return F.when(x >= n * p, F.lit(1.0)).when(x == 0, F.exp(first)).otherwise(total)
 
 
-def calibrate(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str) -> DataFrame:
-    """One row per stratum, MAX_STRATA at most: the stratum, and a cutoff (or null: off) per rule."""
+def calibrate(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str, stash: Stash) -> DataFrame:
+    """One row per stratum with a certified cutoff: the stratum, and a cutoff (or null: off) per rule."""
     marks = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("__id"), (F.col("quality") > 0).alias("__good"))
     known = feats.where(~base_failed()).join(marks, F.col(id_col) == F.col("__id"))
     hits = [F.sum(((_value(r) > c) & (F.col("__good") == good)).cast("long")).alias(f"{r[0]}_{k}_{int(good)}") for r in RULES for k, c in enumerate(r[3]) for good in (True, False)]
     by = known.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("__stratum")).agg(F.sum(F.col("__good").cast("long")).alias("n"), *hits)
-    by = by.orderBy(F.desc("n"), "__stratum").limit(MAX_STRATA)
+    by = stash.put(by, "strata")
+    m = max(1, by.count())
     cells = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(k).alias("k"), F.lit(c).alias("cutoff"), F.col(f"{r[0]}_{k}_1").alias("lost"), F.col(f"{r[0]}_{k}_0").alias("caught")) for r in RULES for k, c in enumerate(r[3])])
-    strata = by.select(F.count("*").over(_whole()).alias("m"), "__stratum", "n", F.explode(cells).alias("x")).select("m", "__stratum", "n", "x.*")
-    level = DELTA / (F.col("m") * len(RULES))
+    strata = by.select("__stratum", "n", F.explode(cells).alias("x")).select("__stratum", "n", "x.*")
+    level = DELTA / (m * len(RULES))
     tested = strata.withColumn("ok", lower_tail(F.col("lost"), F.col("n"), ALPHA) <= level)
     from pyspark.sql import Window
 
@@ -99,18 +101,13 @@ def calibrate(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str) ->
     return best.groupBy("__stratum").pivot("rule", [r[0] for r in RULES]).agg(F.first("cutoff"))
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
-
-
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", stash: Stash | None = None) -> DataFrame:
     """id, the features (named without their underscores), base_failed, kept; a row per document."""
     stash = stash or Stash(docs.sparkSession, "quality")
     feats = stash.put(features(docs.select(id_col, text_col, stratum), text_col), "features")
-    # MAX_STRATA rows at most
-    cutoffs = F.broadcast(stash.put(calibrate(feats, labels, id_col, stratum), "cutoffs"))
+    cutoffs = stash.put(calibrate(feats, labels, id_col, stratum, stash), "cutoffs")
+    if cutoffs.limit(MAX_STRATA + 1).count() <= MAX_STRATA:
+        cutoffs = F.broadcast(cutoffs)
     rows = feats.join(cutoffs, F.coalesce(F.col(stratum).cast("string"), F.lit("")) == F.col("__stratum"), "left")
     rejected = F.lit(False)
     for r in RULES:

@@ -182,6 +182,18 @@ def test_quality_limits_false_rejection(spark):
     assert all(kept[i] for i, _, _ in good) and not any(kept[i] for i, _, _ in bad)
 
 
+def test_quality_judges_every_stratum(spark, monkeypatch):
+    from basalt.llm import quality
+
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    rng = random.Random(5)
+    good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(900)) for _ in range(30)), ("en", "fr")[i % 2]) for i in range(2600)]
+    bad = [(10_000 + i, " ".join(f"w{rng.randrange(900)}###$$$" for _ in range(30)), ("en", "fr")[i % 2]) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in good] + [(i, 0, 0) for i, _, _ in bad], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), labels).collect() if r.kept}
+    assert kept == {i for i, _, _ in good}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there\nmy question"), (1, 1, "assistant", "> my  Question\nan answer"), (1, 2, "user", ">> my question\n> an answer\nthanks"), (2, 0, None, None), (1, 3, "user", "> hello there\n> nothing known"), (None, 5, "user", "> x")]
     got = {(r.conv_id, r.turn): r for r in build_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
