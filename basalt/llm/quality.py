@@ -41,25 +41,30 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __n_lines, __n_upper."""
     f = lambda n: F.col(f"__{n}")
     keep = [c for c in docs.columns if c != text_col]
-    gram = lambda i: F.xxhash64(*[F.get(f("words"), i + k) for k in range(WINDOW)])
-    d = docs.withColumn("__t", text_or_empty(text_col))
-    d = d.select(*keep, "__t", F.array_remove(F.split("__t", f"[{SPACE}]+"), "").alias("__words"), F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("__lines"))
-    d = d.withColumn("__grams", F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__words") - WINDOW), gram)).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("__pairs", F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"), F.array_sort(F.transform("__grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = lambda x, k, o: F.get(f("pairs"), k + o)["h"] == x["h"]
-    twice = F.filter("__pairs", lambda x, k: F.coalesce(same(x, k, -1), F.lit(False)) | F.coalesce(same(x, k, 1), F.lit(False)))
-    d = d.withColumn("__at", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["end"])).cast("int").alias("n"), (i + WINDOW).cast("int").alias("end")), lambda a: a["n"])
-    return d.select(
+    counted = [f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_lines"), f("n_upper")]
+    t, lines = f("t"), F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    d = docs.withColumn("__t", text_or_empty(text_col)).select(
         *keep,
-        F.size("__words").cast("long").alias("__n_words"),
+        F.transform(F.array_remove(F.split("__t", f"[{SPACE}]+"), ""), lambda w: F.xxhash64(w)).alias("__words"),  # the text and its words end here
         F.length(F.translate("__t", SPACE_CHARS, "")).cast("long").alias("__word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("__n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
-        covered.cast("long").alias("__n_repeat_words"),
-        F.size("__lines").cast("long").alias("__n_lines"),
-        F.regexp_count("__t", F.lit("\\p{Lu}")).cast("long").alias("__n_upper"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("__n_dup_lines"),
+        F.size(lines).cast("long").alias("__n_lines"),
+        F.regexp_count(t, F.lit("\\p{Lu}")).cast("long").alias("__n_upper"),
     )
+    n_words = F.size("__words").cast("long").alias("__n_words")
+    gram = lambda i: F.xxhash64(*[F.get(f("words"), i + k) for k in range(WINDOW)])
+    grams = F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__words") - WINDOW), gram)).otherwise(F.array().cast("array<bigint>"))
+    d = d.select(*keep, *counted, n_words, grams.alias("__grams"))
+    # only texts with a repeated window lay them out with their places
+    placed = F.sort_array(F.transform("__grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    d = d.select(*keep, *counted, f("n_words"), pairs.alias("__pairs"))
+    same = lambda x, k, o: F.get(f("pairs"), k + o)["h"] == x["h"]
+    twice = F.filter("__pairs", lambda x, k: F.coalesce(same(x, k, -1), F.lit(False)) | F.coalesce(same(x, k, 1), F.lit(False)))
+    d = d.select(*keep, *counted, f("n_words"), F.sort_array(F.transform(twice, lambda x: x["i"])).alias("__at"))
+    covered = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(i, a["end"])).cast("int").alias("n"), (i + WINDOW).cast("int").alias("end")), lambda a: a["n"])
+    return d.select(*keep, *counted, f("n_words"), covered.cast("long").alias("__n_repeat_words"))
 
 
 def base_failed() -> Column:
