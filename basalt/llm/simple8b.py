@@ -30,17 +30,21 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, dtype="<u8")
-    width, at = _widths(ids), np.arange(n, dtype=np.int32)
-    left = n - at
-    choice = np.full(n, len(COUNTS) - 1, dtype=np.int8)
-    for s in range(len(COUNTS) - 2, -1, -1):  # wide to narrow, so that the narrowest that fits stays
-        wide = width > BITS[s]
-        stop = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1]  # the next id that is too wide
-        fits = stop - at >= np.minimum(COUNTS[s], left)
-        if not fits.any():
-            break
-        choice[fits] = s
-    step = np.asarray(COUNTS, dtype=np.int32)[choice].tolist()
+    most = {1: np.concatenate([_widths(ids), np.zeros(COUNTS[0], dtype=np.uint8)])}  # width of the widest of so many ids from each place
+    choice = np.full(n, len(COUNTS) - 1, dtype=np.uint8)
+    for s in range(len(COUNTS) - 1, -1, -1):  # wide to narrow, so that the narrowest that fits stays
+        k = COUNTS[s]
+        half = max(x for x in most if x < k)
+        while 2 * half < k:
+            most[2 * half] = np.maximum(most[half][:-half], most[half][half:])
+            half *= 2
+        most[k] = np.maximum(most[half][: half - k or None], most[half][k - half :])
+        fits = most[k][:n] <= BITS[s]
+        if s < len(COUNTS) - 1:
+            if not fits.any():
+                break
+            choice[fits] = s
+    step = np.asarray(COUNTS, dtype=np.uint8)[choice].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)

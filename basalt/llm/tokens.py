@@ -15,16 +15,48 @@ from .bpe import CHAR_BYTES, MEMO_WORDS, Encoder, Memo, encoder, library
 #: Characters of text that are encoded before rows leave, and chunks a worker remembers.
 BATCH_CHARS = 2_000_000
 MEMO_CHUNKS = 400_000
+#: ASCII characters that are neither letters, numbers nor white space.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
+class Chunks(dict):
+    """Ids of chunks as uint32 bytes, remembered in two generations: when the young one is full, it becomes the old one.
+
+    Letters, with ASCII marks after them at most, are the two matches that the word pattern would find, so they are
+    encoded without it: most chunks that a corpus shows for the first time are such.
+    """
+
+    def __init__(self, enc: Encoder, word_ids: Callable[[str], list[int]], cap: int):
+        super().__init__()
+        self.enc, self.word_ids, self.cap, self.old = enc, word_ids, cap, {}
+        self.lower, self.lead = enc.kind == "words", int(enc.kind == "bytes")
+        self.marks = Memo(lambda w: array("I", word_ids(w)).tobytes(), MEMO_WORDS // 8)
+
+    def __missing__(self, c: str) -> bytes:
+        value = self.old.get(c)
+        if value is None:
+            word = c.rstrip(MARKS)
+            if (word[1:] if self.lead and word[:1] == " " else word).isalpha():
+                low = (word.lower() if word.isascii() else self.enc.normalise(word)) if self.lower else word
+                if low is word or not self.lower or low.isalpha():
+                    value = array("I", self.word_ids(low)).tobytes()
+                    if len(word) < len(c):
+                        value += self.marks[c[len(word) :]]
+            if value is None:
+                value = b"".join(map(self.marks.__getitem__, self.enc.pieces(c)))
+        if len(self) >= self.cap:
+            self.old = self.copy()
+            self.clear()
+        self[c] = value
+        return value
 
 
 class FastIds:
-    """Ids of whole texts as uint32 bytes: chunks and words are looked up, only new words are encoded."""
+    """Ids of whole texts as uint32 bytes: chunks are looked up, only new ones are encoded."""
 
     def __init__(self, enc: Encoder, word_ids: Callable[[str], list[int]]):
         self.enc = enc
-        words = Memo(lambda w: array("I", word_ids(w)).tobytes(), MEMO_WORDS)
-        get, pieces = words.__getitem__, enc.pieces
-        self.memo = Memo(lambda c: b"".join(map(get, pieces(c))), MEMO_CHUNKS)
+        self.memo = Chunks(enc, word_ids, MEMO_CHUNKS)
         self.special = {i: array("I", [i]).tobytes() for i in enc.special.values()}
 
     def __call__(self, text: str | None) -> bytes:
