@@ -1,12 +1,13 @@
 """Exact top-k by inner product: a ball tree in each shard, searched best first with branch and bound.
 
 A node's ball (centre c, radius r) bounds the inner product of a query q with anything inside by q.c + |q| r.
-Nodes are visited by falling bound until it is below the k-th best score known. That score is shared: a first wave
-searches one pilot shard, the k-th scores it found travel with the queries to all other shards as their start.
+Nodes are visited by falling bound until it is below the k-th best score known. That score is shared: shards are
+searched in waves of one, one, two, four and so on, and each wave starts from the k-th scores of all waves before it.
 
 Queries go in blocks, vectors in shards; a task holds one of each, both of bounded size. Vectors that are null, or
 hold null or non-finite components, or have a null id take no part. Vectors of different length meet over the
-shorter one's components. Repeated ids are kept apart, but a query never meets its own id. Ties go to the smaller id.
+shorter one's components. Repeated ids are kept apart: each row is a query or candidate of its own, and a query only
+leaves its own row out. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stash
@@ -68,12 +69,13 @@ class BallTree:
         return ub + 1e-9 * (norms[:, None] * (np.sqrt((self.centres**2).sum(axis=1)) + self.radii)[None, :]) + 1e-6
 
 
-def search(tree: BallTree, ids: np.ndarray, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query number, id, score) of each query's best k here that reach its floor. exact: what scores are made of."""
+def search(tree: BallTree, ids: np.ndarray, rows: np.ndarray, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """(query number, id, score) of each query's best k here that reach its floor. exact: what scores are made of;
+    rows, q_rows: row numbers, so that a query doesn't meet itself."""
     if not len(q):
         return
     ub = tree.bounds(q)
-    place = ids[tree.order]
+    place, row = ids[tree.order], rows[tree.order]
     vectors = exact[tree.order]
     for j in range(len(q)):
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst on top
@@ -90,7 +92,7 @@ def search(tree: BallTree, ids: np.ndarray, exact: np.ndarray, q: np.ndarray, q_
                         heapq.heappush(heap, (-ub[j, child], child))
                 continue
             scores = vectors[first:end] @ q_exact[j]
-            for i in np.flatnonzero((scores >= limit) & (place[first:end] != q_ids[j])).tolist():
+            for i in np.flatnonzero((scores >= limit) & (row[first:end] != q_rows[j])).tolist():
                 item = (int(scores[i]), -int(place[first + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
@@ -113,20 +115,24 @@ def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id and vec array<bigint>: floor(scale * x) of each component; rows that take no part are gone."""
+    """row (a number), id and vec array<bigint>: floor(scale * x) of each component; rows that take no part are gone."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return df.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad).select(F.col(id_col).alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("vec"))
+    return df.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("vec"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 8192, block_rows: int = 2048, stash: Stash | None = None) -> DataFrame:
-    """vectors, queries: id bigint, vec array<bigint>. Returns query_id, rank, vec_id, score."""
+def top_k(vectors: DataFrame, asks: Column, k: int, shard_rows: int = 8192, block_rows: int = 2048, stash: Stash | None = None) -> DataFrame:
+    """vectors: row bigint (unique), id bigint, vec array<bigint>; asks: which of them are queries, too. Returns
+    query_id, rank, vec_id, score: k rows for each query row, fewer if there are not so many others."""
     spark = vectors.sparkSession
     stash = stash or Stash(spark, "topk")
+    vectors = stash.put(vectors, "rows")  # numbered once: a task run again must not number anew
+    queries = vectors.where(asks)
     n, n_q = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_q // block_rows))
-    sharded = stash.put(vectors.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int")), "vectors")
-    blocked = stash.put(queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
+    sharded = stash.put(vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "vectors")
+    blocked = stash.put(queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
+    found_schema = "query long, query_id long, vec_id long, score long"
 
     def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
         got = left.column("vec").combine_chunks(), right.column("vec").combine_chunks()
@@ -139,23 +145,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 8192
             xf, qf = x.astype(float), q.astype(float)
             exact = (xf, qf) if top < 2.0**53 else (x, q)
             floor = right.column("floor").to_numpy().astype(float)
-            q_ids = right.column("id").to_numpy()
-            rows = [(int(q_ids[j]), i, s) for j, i, s in search(BallTree(xf), left.column("id").to_numpy(), exact[0], qf, exact[1], q_ids, floor, k)]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
+            q_ids, q_rows = right.column("id").to_numpy(), right.column("row").to_numpy()
+            rows = [(int(q_rows[j]), int(q_ids[j]), i, s) for j, i, s in search(BallTree(xf), left.column("id").to_numpy(), left.column("row").to_numpy(), exact[0], qf, exact[1], q_rows, floor, k)]
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query", "query_id", "vec_id", "score"), cols, strict=True)})
 
-    def wave(rows: DataFrame, asked: DataFrame, numbers) -> DataFrame:
-        """Each shard of `numbers` meets each block."""
-        data = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        ask = asked.withColumn("shard", F.explode(numbers))
-        return data.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(task, "query_id long, vec_id long, score long")
+    def wave(first: int, end: int, asked: DataFrame) -> DataFrame:
+        """Shards first to end - 1, each with every block."""
+        data = sharded.where((F.col("shard") >= first) & (F.col("shard") < end)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        ask = asked.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(end - 1))))
+        return data.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInArrow(task, found_schema)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     lowest = -(1 << 62)
-    pilot = stash.put(wave(sharded.where("shard = 0"), blocked.withColumn("floor", F.lit(lowest).cast("long")), F.array(F.lit(0))), "pilot")
-    kth = pilot.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
-    found = pilot
-    if shards > 1:
-        ask = blocked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(lowest)).cast("long"))
-        found = found.unionByName(wave(sharded.where("shard > 0"), ask, F.sequence(F.lit(1), F.lit(shards - 1))))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, done = spark.createDataFrame([], found_schema), 0
+    while done < shards:
+        end = min(shards, max(1, 2 * done))
+        kth = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query").alias("row"), "floor")
+        ask = blocked.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(lowest)).cast("long"))
+        found = stash.put(best(found.unionByName(wave(done, end, ask))).drop("rank"), "best")
+        done = end
+    return best(found).select("query_id", "rank", "vec_id", "score")
