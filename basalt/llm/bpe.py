@@ -3,9 +3,10 @@
 The transducer keeps, for every prefix of a word, the last token of that prefix's encoding. A sequence of tokens
 is the encoding of its text exactly when each neighbouring pair is (no merge across the border would have been
 chosen first), so the last token of a longer prefix follows from those of the shorter ones. The encodings of the
-last `longest` prefixes form a tree, later tokens attach only there, and tokens on its common trunk are stable:
-they are emitted and forgotten. `sufficient_lookahead()` bounds, from the merge list alone, how far right of a
-merge the text can still change it, which bounds the part of a word that is held.
+last `longest` prefixes form a tree, and later tokens attach only there. `sufficient_lookahead()` tells, from the merge
+list alone, how far right of a token the text can still change it. A token is stable, and is emitted and forgotten,
+once so many symbols after it have been read, or the word has ended (no merge crosses words); it must stand on the
+tree's common trunk, too, which holds the bound to account. So what is held of a word is bounded by the lookahead.
 
 Both file kinds are read from the tokenizers library's JSON: byte-level BPE, and word BPE with an end-of-word
 suffix (lower case, white space dropped). Null texts encode as the empty text.
@@ -21,8 +22,8 @@ from collections.abc import Iterable, Iterator
 import regex
 
 BASE = -1
-#: Words and prefixes that a worker remembers.
-MEMO_WORDS = 400_000
+#: Words and prefixes that a worker remembers; symbols between two looks for stable tokens.
+MEMO_WORDS, STEP = 400_000, 16
 #: Word pattern of the word-BPE files, and of byte-level BPE. Fixed values.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BYTE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -90,6 +91,7 @@ class MergeTable:
         for t in self.vocab:
             n, stop = len(t), len(t) - len(suffix) if suffix and t.endswith(suffix) and t != suffix else len(t)
             self.ends.update(t[i:n] for i in range(stop))
+        self._lookahead: int | None = None
         self._proper: dict[str, bool] = {}
         self._pair: dict[tuple[str, str], bool] = {}
 
@@ -148,6 +150,8 @@ class MergeTable:
         A merge (u, v) is pre-empted from the right only by an earlier rule (x, y) whose x ends v's text at that
         time: v or a token down its right edge. That rule needs |y| more symbols, and its own lookahead.
         """
+        if self._lookahead is not None:
+            return self._lookahead
         best: dict[str, int] = {}
         longest = 0
         for (a, b), _ in sorted(self.rank.items(), key=lambda x: x[1]):
@@ -159,6 +163,7 @@ class MergeTable:
                 edge = self.split[edge][1]
             longest = max(longest, need)
             best[a] = max(best.get(a, 0), self.symbol_count(b) + need)
+        self._lookahead = longest
         return longest
 
 
@@ -167,6 +172,7 @@ class Transducer:
 
     def __init__(self, table: MergeTable):
         self.table = table
+        self.lookahead = max(table.sufficient_lookahead(), table.longest)
         self.held_most = 0
         self.states: dict[str, str] = {}
         self.reset()
@@ -200,24 +206,28 @@ class Transducer:
         n = len(held)
         self.last.append(self._last_token(held, self.last))
         self.held_most = max(self.held_most, n)
-        if n >= 2 * self.table.longest and n % 16 == 0:
+        if n >= self.lookahead + STEP and n % STEP == 0:
             yield from self._commit()
 
     def _width(self, token: str) -> int:
         return self.table.symbol_count(token)
 
     def _commit(self) -> Iterator[str]:
+        """The tokens that end `lookahead` symbols back or before: what is yet to come can't change them."""
         n = len(self.symbols)
         live = set(range(max(0, n - self.table.longest + 1), n + 1))  # prefix lengths that a later token can follow
         while len(live) > 1:
             top = max(live)
             live.remove(top)
             live.add(top - self._width(self.last[top - 1]))
-        trunk = live.pop()
-        if trunk:
-            yield from self._path(trunk)
-            self.before = self.last[trunk - 1]
-            del self.symbols[:trunk], self.last[:trunk]
+        end = 0
+        for token in self._path(live.pop()):
+            if end + self._width(token) > n - self.lookahead:
+                break
+            yield token
+            end += self._width(token)
+            self.before = token
+        del self.symbols[:end], self.last[:end]
 
     def _path(self, end: int) -> list[str]:
         out = []
@@ -232,8 +242,8 @@ class Transducer:
         return out
 
     def word(self, word: str) -> Iterable[str]:
-        """Tokens of a word; one too short to be cut before its end takes the plain loop."""
-        return self._short(word) if len(word) < 2 * self.table.longest else self._long(word)
+        """Tokens of a word. Within the lookahead only a word's end makes tokens stable: short ones share their states."""
+        return self._short(word) if len(word) <= min(self.lookahead, 2 * self.table.longest) else self._long(word)
 
     def _short(self, word: str) -> list[str]:
         """The same states, remembered by prefix: words share them."""
