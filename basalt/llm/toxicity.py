@@ -5,7 +5,8 @@
 2. A word of a text hits a term if the term's Levenshtein automaton accepts it: the automaton's states are run down
    the trie, so shared beginnings are done once and dead branches end early. Words that clean documents hold
    are no misspellings.
-3. A hit's window tells quotation (open quote marks, a quoted line) from abuse (someone is addressed, hits cluster).
+3. A hit's window tells quotation (quote marks that open and close on one line, a quoted line) from abuse (someone is
+   addressed, hits cluster).
 4. A logistic model over these figures gives the score; it is fitted on a bounded sample (SAMPLE rows) of the
    training rows, with a prior that holds where the sample says nothing.
 
@@ -22,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
 from .common import Stash
+from .tokens import free_name
 
 FOLDS = 5
-#: Rows that the logistic model is fitted on at most, terms of the lexicon, labels to broadcast.
-SAMPLE, MAX_TERMS, SMALL_LABELS = 20_000, 2_000, 1_000_000
+#: Rows that the logistic model is fitted on at most; labels to broadcast (more are joined by a shuffle).
+SAMPLE, SMALL_LABELS = 20_000, 1_000_000
 LEAST_LOG_RATIO, WINDOW, CROWDED = 2.0, 8, 3
 #: Fixed values.
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‚‘’…-–—*_~`|/\\#%&+="
@@ -157,15 +159,16 @@ class Scorer:
             n = len(line.split())
             if line.lstrip().startswith(">"):
                 out[i : i + n] = [True] * n
+            opened, close = None, ""
+            for j in range(i, i + n):
+                c = chunks[j]
+                if opened is None and c[:1] in QUOTES:
+                    opened, close = j, QUOTES[c[0]]
+                    c = c[1:]
+                if opened is not None and close in c:
+                    out[opened : j + 1] = [True] * (j + 1 - opened)
+                    opened = None
             i += n
-        opened, close = None, ""
-        for i, c in enumerate(chunks):
-            if opened is None and c[:1] in QUOTES:
-                opened, close = i, QUOTES[c[0]]
-                c = c[1:]
-            if opened is not None and close in c:
-                out[opened : i + 1] = [True] * (i + 1 - opened)
-                opened = None
         return out
 
 
@@ -244,7 +247,10 @@ def contexts(rows: DataFrame, words: list[str]) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, rows: DataFrame) -> list[str]:
-    """Terms, MAX_TERMS at most: by evidence over documents first, then again over different contexts."""
+    """All terms with evidence, over documents first and then again over different contexts.
+
+    The bar grows with the words seen, so their number follows what the labels tell and not the vocabulary.
+    """
     total = counts.where("word = ''").first()
     n_t, n_c = (total["t"], total["c"]) if total else (0, 0)
     if not n_t:
@@ -253,16 +259,16 @@ def lexicon(counts: DataFrame, rows: DataFrame) -> list[str]:
     bar = 2 * math.log(max(seen.count(), 1) / 0.05)
     n = n_t + n_c
 
-    def best(df: DataFrame, limit: int) -> list[str]:
+    def best(df: DataFrame) -> list[str]:
         t, c = F.col("t"), F.col("c")
         part = lambda k, share: F.when(k > 0, k * F.log(k / ((t + c) * share))).otherwise(0.0)
         g = 2 * (part(t, n_t / n) + part(c, n_c / n))
         ratio = F.log((t + 0.5) / (n_t + 1.0)) - F.log((c + 0.5) / (n_c + 1.0))
-        found = df.where((g >= bar) & (ratio >= LEAST_LOG_RATIO) & (F.length("word") >= 3)).select("word", g.alias("g"))
-        return sorted(r["word"] for r in found.orderBy(F.desc("g"), "word").limit(limit).collect())
+        found = df.where((g >= bar) & (ratio >= LEAST_LOG_RATIO) & (F.length("word") >= 3)).select("word")
+        return sorted(r["word"] for r in found.collect())
 
-    first = best(seen, 4 * MAX_TERMS)
-    return best(contexts(rows, first), MAX_TERMS) if first else []
+    first = best(seen)
+    return best(contexts(rows, first)) if first else []
 
 
 def neighbours(counts: DataFrame, terms: list[str], by: str, stash: Stash) -> tuple[list[str], list[str]]:
@@ -307,33 +313,42 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 0.05, rounds: int = 50)
     return w
 
 
-def figures(rows: DataFrame, keep: list[str], terms: list[str], loose: list[str], clean: list[str]) -> DataFrame:
-    """keep columns, and `f`, the figures of the column text."""
+def figures(rows: DataFrame, keep: list[str], text: Column, terms: list[str], loose: list[str], clean: list[str]) -> tuple[DataFrame, str]:
+    """The columns keep and one more, the figures of text, and that one's name."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("f", T.ArrayType(T.DoubleType()))])
+    f = free_name(rows, "f")
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField(f, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(terms, loose, clean)
         for batch in batches:
-            f = [s.figures(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(f, pa.list_(pa.float64()))], names=[*keep, "f"])
+            got = [s.figures(t) for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(got, pa.list_(pa.float64()))], names=[*keep, f])
 
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, text.alias(free_name(rows, "__text"))).mapInArrow(run, schema), f
 
 
 class Model:
     def __init__(self, terms: list[str], loose: list[str], clean: list[str], weights: np.ndarray):
         self.terms, self.loose, self.clean, self.weights = terms, loose, clean, weights
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """All columns of docs but the text, score, predicted, and hits: [plain, misspelled, quoted]."""
-        keep = [c for c in docs.columns if c != text_col]
-        rows = figures(docs.select(*keep, F.col(text_col).alias("text")), keep, self.terms, self.loose, self.clean)
-        logit = sum((F.col("f")[i] * float(w) for i, w in enumerate(self.weights)), F.lit(0.0))
+    def score(self, docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+        """All columns of docs (keep_text: the text, too), score, predicted, and hits: [plain, misspelled, quoted].
+
+        Names that docs has already get underscores; `names` tells them.
+        """
+        keep = [c for c in docs.columns if keep_text or c != text_col]
+        rows, f = figures(docs, keep, F.col(text_col), self.terms, self.loose, self.clean)
+        logit = sum((F.col(f)[i] * float(w) for i, w in enumerate(self.weights)), F.lit(0.0))
         score = 1 / (1 + F.exp(-logit))
-        hits = F.array(*[F.round(F.exp(F.col("f")[i]) - 1).cast("long") for i in (1, 2, 3)])
-        return rows.select(*keep, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), hits.alias("hits"))
+        hits = F.array(*[F.round(F.exp(F.col(f)[i]) - 1).cast("long") for i in (1, 2, 3)])
+        names = self.names(docs)
+        return rows.select(*keep, score.alias(names[0]), (score >= 0.5).cast("int").alias(names[1]), hits.alias(names[2]))
+
+    @staticmethod
+    def names(docs: DataFrame) -> tuple[str, str, str]:
+        return free_name(docs, "score"), free_name(docs, "predicted"), free_name(docs, "hits")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stash: Stash | None = None) -> Model:
@@ -343,10 +358,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = lexicon(counts, rows)
     loose, clean = neighbours(counts, terms, "c", stash)
     # the fit sees misspellings as new documents show them: it takes the clean words of the other half only
-    fitted = stash.put(figures(_sampled(rows.where("half = 1")), ["toxic"], terms, *neighbours(counts, terms, "a", stash)), "fit").limit(SAMPLE).collect()
+    fitted, f = figures(_sampled(rows.where("half = 1")), ["toxic"], F.col("text"), terms, *neighbours(counts, terms, "a", stash))
+    fitted = stash.put(fitted, "fit").limit(SAMPLE).collect()
     if not fitted:
         return Model(terms, loose, clean, PRIOR)
-    x, y = np.array([r["f"] for r in fitted]), np.array([r["toxic"] for r in fitted], dtype=float)
+    x, y = np.array([r[f] for r in fitted]), np.array([r["toxic"] for r in fitted], dtype=float)
     return Model(terms, loose, clean, fit(x, y))
 
 
