@@ -99,18 +99,9 @@ def connected_components(spark, sf_dir):
     return ops.connected_components(scc_edges(spark, sf_dir))
 
 
-@query(f"""WITH {G} SELECT o.src AS node, round(exp(sum(ln(greatest(i.confidence, 1e-9)))), 6) AS confidence FROM g o JOIN g i ON i.src = o.dst WHERE o.kind = 'triggers' AND o.src IN ('c:1', 'c:2', 'c:4', 'c:5', 'c:7') GROUP BY o.src""")
-def path_confidence(spark, sf_dir):
-    e = g_edges(spark, sf_dir)
-    asked = e.where("kind = 'triggers'").where(F.col("src").isin("c:1", "c:2", "c:4", "c:5", "c:7"))
-    inner = e.select(F.col("src").alias("mid"), "confidence")
-    rows = asked.select(F.col("src").alias("node"), F.col("dst").alias("mid")).join(inner, "mid")
-    return ops.path_confidence(rows, ["node"], "confidence").select("node", F.round("confidence", 6).alias("confidence"))
-
-
 @query(f"""WITH {G} SELECT o.src AS node, round(exp(sum(ln(greatest(i.confidence, 1e-9)))), 6) AS confidence FROM g o JOIN g i ON i.src = o.dst WHERE o.kind = 'triggers' GROUP BY o.src""")
-def path_confidence_all(spark, sf_dir):
-    """path_confidence of every customer, not of the five that its SQL names."""
+def path_confidence(spark, sf_dir):
+    """Product of the confidences two steps from every customer."""
     e = g_edges(spark, sf_dir)
     asked = e.where("kind = 'triggers'").select(F.col("src").alias("node"), F.col("dst").alias("mid"))
     rows = asked.join(e.select(F.col("src").alias("mid"), "confidence"), "mid")

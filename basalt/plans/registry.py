@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["graph_queries", "check_queries", "trace_queries", "domain_queries"]
+MODULES = ["graph_queries", "check_queries", "trace_queries", "domain_queries", "gate_queries", "oracle_queries", "trial_queries", "challenge_queries", "requirement_queries"]
 
 
 def modules():

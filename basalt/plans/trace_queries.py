@@ -70,18 +70,9 @@ def artifact_latest(spark, sf_dir):
     return trace(spark, sf_dir).groupBy(F.col("bundle").alias("instance"), F.col("kind").alias("type")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("artifact"), F.max("value").alias("most"))
 
 
-@query("SELECT event_id AS artifact, event_id + 7 AS parent FROM events WHERE event_id % 11 = 0 AND event_id + 7 NOT IN (SELECT event_id FROM events WHERE event_type <> 'click')")
-def artifact_integrity(spark, sf_dir):
-    """Dangling parents, by anti-join."""
-    e = trace(spark, sf_dir)
-    stored = e.where("kind <> 'click'").select(F.col("event_id").alias("parent"))
-    claims = e.where("event_id % 11 = 0").select(F.col("event_id").alias("artifact"), (F.col("event_id") + 7).alias("parent"))
-    return claims.join(stored, "parent", "left_anti").select("artifact", "parent")
-
-
 @query("SELECT event_id AS artifact, event_id + 7 AS parent FROM events WHERE event_id + 7 NOT IN (SELECT event_id FROM events WHERE event_type <> 'click')")
-def artifact_integrity_all(spark, sf_dir):
-    """artifact_integrity of every claim, not of one in eleven as in its SQL."""
+def artifact_integrity(spark, sf_dir):
+    """Dangling parents of all claims, by anti-join."""
     e = trace(spark, sf_dir)
     stored = e.where("kind <> 'click'").select(F.col("event_id").alias("parent"))
     return e.select(F.col("event_id").alias("artifact"), (F.col("event_id") + 7).alias("parent")).join(stored, "parent", "left_anti").select("artifact", "parent")
@@ -153,17 +144,6 @@ def polarity_conflicts(spark, sf_dir):
     return yes.join(no, "base").select("claim", "refutes")
 
 
-_EXITS = {"guard": ["true", "false", "boundary"], "call": ["return", "raise"], "state": ["read", "write", "alias", "reset"], "resource": ["open", "close"]}
-_EXIT_ROWS = [(k, e) for k, v in _EXITS.items() for e in v]
-
-
-@query("SELECT l_orderkey AS relation, kind, exit FROM (SELECT DISTINCT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'guard' WHEN 'R' THEN 'call' ELSE 'state' END AS kind FROM lineitem) JOIN (VALUES " + ", ".join(f"('{k}', '{e}')" for k, e in _EXIT_ROWS) + ") x(kind, exit) USING (kind)")
-def guard_exit_expansion(spark, sf_dir):
-    kind = F.when(F.col("l_returnflag") == "A", "guard").when(F.col("l_returnflag") == "R", "call").otherwise("state")
-    exits = F.broadcast(spark.createDataFrame(_EXIT_ROWS, "kind string, exit string"))  # a fixed table
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("relation"), kind.alias("kind")).distinct().join(exits, "kind").select("relation", "kind", "exit")
-
-
 @query("""WITH spans AS (SELECT c_custkey AS file, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 points AS (SELECT o_custkey AS file, o_orderkey AS point, o_orderdate AS day FROM orders) SELECT file, point, CAST(epoch(hi) - epoch(lo) AS BIGINT) AS span FROM points JOIN spans USING (file) WHERE day BETWEEN lo AND hi AND day > lo""")
 def range_join_spans(spark, sf_dir):
@@ -175,25 +155,14 @@ def range_join_spans(spark, sf_dir):
     return points.join(spans, "file").where("day between lo and hi and day > lo").select("file", "point", (seconds("hi") - seconds("lo")).cast("long").alias("span"))
 
 
-@query("""WITH n AS (SELECT user_id AS file, event_id AS node, event_id AS lo, event_id + (event_id % 400) AS hi FROM events), p AS (SELECT user_id AS file, event_id AS point FROM events WHERE event_id % 10 = 0)
-SELECT file, point, arg_min(node, (hi - lo, lo)) AS enclosing FROM p JOIN n USING (file) WHERE point BETWEEN lo AND hi GROUP BY ALL""")
-def enclosing_location(spark, sf_dir):
-    """The innermost span of the same file that holds a point."""
-    e = trace(spark, sf_dir)
-    spans = e.select(F.col("bundle").alias("file"), F.col("event_id").alias("node"), F.col("event_id").alias("lo"), (F.col("event_id") + F.col("event_id") % 400).alias("hi"))
-    points = e.where("event_id % 10 = 0").select(F.col("bundle").alias("file"), F.col("event_id").alias("point"))
-    inside = points.join(spans, "file").where("point between lo and hi")
-    return inside.groupBy("file", "point").agg(F.min_by("node", F.struct(F.col("hi") - F.col("lo"), "lo")).alias("enclosing"))
-
-
 _WIDE = 400
 
 
 @query("""WITH n AS (SELECT user_id AS file, event_id AS node, event_id AS lo, event_id + (event_id % 400) AS hi FROM events), p AS (SELECT user_id AS file, event_id AS point FROM events)
 SELECT file, point, arg_min(node, (hi - lo, lo)) AS enclosing FROM p JOIN n USING (file) WHERE point BETWEEN lo AND hi GROUP BY ALL""")
-def enclosing_location_all(spark, sf_dir):
-    """enclosing_location of every point, not of one in ten as in its SQL. Spans are cut into range buckets, so that a
-    point of a hot file meets only spans near it."""
+def enclosing_location(spark, sf_dir):
+    """The innermost span of the same file that holds a point. Spans are cut into range buckets, so that a point of a hot
+    file meets only spans near it."""
     e = trace(spark, sf_dir)
     bucket = lambda c: F.floor(F.col(c) / _WIDE)
     spans = e.select(F.col("bundle").alias("file"), F.col("event_id").alias("node"), F.col("event_id").alias("lo"), (F.col("event_id") + F.col("event_id") % 400).alias("hi"))
