@@ -33,7 +33,7 @@ g AS (
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 8) r(k) GROUP BY doc_id),
 f AS (
-  SELECT w.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT w.doc_id, stratum, t, CAST(len(words) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(t, '[{space}]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -43,7 +43,10 @@ f AS (
   FROM w LEFT JOIN covered USING (doc_id)
 ),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-known AS (SELECT b.*, quality > 0 AS good FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL),
+known AS (
+  SELECT min(b.doc_id) AS doc_id, stratum, t, quality > 0 AS good, any_value(COLUMNS(['n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words', 'n_lines', 'n_upper']))
+  FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY stratum, t, quality > 0
+),
 top AS (SELECT stratum, count(*) FILTER (good) AS n FROM known GROUP BY stratum ORDER BY n DESC, stratum LIMIT {MAX_STRATA}),
 grid(rule, num, den, k, cutoff) AS (VALUES {grid}),
 v AS ({values}),

@@ -3,12 +3,14 @@
 Each rule rejects a document whose value exceeds a cutoff. Cutoffs are chosen per stratum on labelled holdouts:
 walking from the mildest cutoff to the strictest, one is certified while the exact binomial test rejects "the rule
 loses more than ALPHA of this stratum's good documents" at level DELTA / (strata x rules): Bonferroni over strata and
-rules, fixed sequence within a rule (so cutoffs need no correction). Of the certified cutoffs, the one with the best
+rules, fixed sequence within a rule (so cutoffs need no correction). With confidence 1 - DELTA no rule loses more than
+ALPHA of any stratum's good documents, so all of them together no more than ALPHA times their number. Equal texts with
+equal labels are one trial. Of the certified cutoffs, the one with the best
 net gain (bad documents caught less good ones lost) is used, the mildest of equals. Rules of a stratum without
 enough good documents stay off: there, nothing can be guaranteed, and documents are kept.
 
 Nulls: a null text has no words; a null stratum is the stratum ''. Labels that are null, or whose document is
-missing, don't count; repeated labels count each time. Documents of fewer than MIN_WORDS words, or with more than
+missing, don't count. Documents of fewer than MIN_WORDS words, or with more than
 MAX_REPEAT of their words in repeated windows, fail by themselves.
 """
 
@@ -38,14 +40,15 @@ RULES: list[tuple[str, str, str, list[float]]] = [
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __n_lines, __n_upper."""
+    """docs without the text, with __th (its hash), __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __n_lines, __n_upper."""
     f = lambda n: F.col(f"__{n}")
     keep = [c for c in docs.columns if c != text_col]
-    counted = [f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_lines"), f("n_upper")]
+    counted = [f("th"), f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_lines"), f("n_upper")]
     t, lines = f("t"), F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     d = docs.withColumn("__t", text_or_empty(text_col)).select(
         *keep,
         F.transform(F.array_remove(F.split("__t", f"[{SPACE}]+"), ""), lambda w: F.xxhash64(w)).alias("__words"),  # the text and its words end here
+        F.xxhash64("__t").alias("__th"),
         F.length(F.translate("__t", SPACE_CHARS, "")).cast("long").alias("__word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("__n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("__n_dup_lines"),
@@ -89,9 +92,10 @@ def lower_tail(x: Column, n: Column, p: float) -> Column:
 def calibrate(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str, stash: Stash) -> DataFrame:
     """One row per stratum with a certified cutoff: the stratum, and a cutoff (or null: off) per rule."""
     marks = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("__id"), (F.col("quality") > 0).alias("__good"))
-    known = feats.where(~base_failed()).join(marks, F.col(id_col) == F.col("__id"))
+    known = feats.where(~base_failed()).join(marks, F.col(id_col) == F.col("__id")).withColumn("__stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    known = known.dropDuplicates(["__stratum", "__th", "__good"])  # copies aren't independent trials
     hits = [F.sum(((_value(r) > c) & (F.col("__good") == good)).cast("long")).alias(f"{r[0]}_{k}_{int(good)}") for r in RULES for k, c in enumerate(r[3]) for good in (True, False)]
-    by = known.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("__stratum")).agg(F.sum(F.col("__good").cast("long")).alias("n"), *hits)
+    by = known.groupBy("__stratum").agg(F.sum(F.col("__good").cast("long")).alias("n"), *hits)
     by = stash.put(by, "strata")
     m = max(1, by.count())
     cells = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(k).alias("k"), F.lit(c).alias("cutoff"), F.col(f"{r[0]}_{k}_1").alias("lost"), F.col(f"{r[0]}_{k}_0").alias("caught")) for r in RULES for k, c in enumerate(r[3])])
@@ -106,10 +110,10 @@ def calibrate(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str, st
     return best.groupBy("__stratum").pivot("rule", [r[0] for r in RULES]).agg(F.first("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", stash: Stash | None = None) -> DataFrame:
-    """id, the features (named without their underscores), base_failed, kept; a row per document."""
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", stash: Stash | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id and the columns keep, the features (named without their underscores), base_failed, kept; a row per document."""
     stash = stash or Stash(docs.sparkSession, "quality")
-    feats = stash.put(features(docs.select(id_col, text_col, stratum), text_col), "features")
+    feats = stash.put(features(docs.select(id_col, text_col, stratum, *keep), text_col), "features")
     cutoffs = stash.put(calibrate(feats, labels, id_col, stratum, stash), "cutoffs")
     if cutoffs.limit(MAX_STRATA + 1).count() <= MAX_STRATA:
         cutoffs = F.broadcast(cutoffs)
@@ -118,4 +122,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for r in RULES:
         rejected = rejected | F.coalesce(_value(r) > F.col(r[0]), F.lit(False))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select(id_col, *[F.col(f"__{n}").alias(n) for n in names], base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+    return rows.select(id_col, *keep, *[F.col(f"__{n}").alias(n) for n in names], base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
