@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import CHAR_BYTES, MEMO_WORDS, Encoder, Memo, encoder, library
 
-#: Characters of text that are encoded before rows leave, and chunks a worker remembers.
-BATCH_CHARS = 2_000_000
+#: Characters of text that are encoded before rows leave, ids that the decoder takes at once, chunks a worker remembers.
+BATCH_CHARS, DECODE_IDS = 2_000_000, 8192
 MEMO_CHUNKS = 400_000
 #: ASCII characters that are neither letters, numbers nor white space.
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -100,12 +101,12 @@ def fast_ids(path: str, by: str = "transducer") -> FastIds:
     return _FAST[path, by]
 
 
-def slices(texts: list[str | None]) -> Iterator[range]:
-    """Row ranges of about BATCH_CHARS; a longer text is one by itself."""
+def slices(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[range]:
+    """Row ranges of about so many characters; a longer text is one by itself."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= BATCH_CHARS:
+        if size >= chars:
             yield range(start, i + 1)
             start, size = i + 1, 0
     if start < len(texts):
@@ -123,12 +124,16 @@ def free_name(df: DataFrame, name: str) -> str:
 def transcode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds the ids of each whole text by the transducer, and the text that the decoder's state machine makes of them.
 
+    Names that are taken get underscores.
+
     df: any columns (keep: which to pass on; all by default). Null and empty texts: no ids, empty decoded text.
     No shuffle; a worker holds a batch of rows and a bounded memo of chunks.
     """
     keep = df.columns if keep is None else keep
-    rows = df.select(*keep, df[text_col].alias("__text"))
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
+    kept = df.select(*keep)
+    ids, decoded = free_name(kept, ids), free_name(kept, decoded)
+    rows = df.select(*keep, F.col(text_col).alias(free_name(kept, "__text")))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +146,11 @@ def transcode(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids"
                 flat = np.frombuffer(b"".join(blobs), dtype="<i4")
                 out = []
                 for b in blobs:
-                    d = enc.decoder()
-                    out.append(d.feed_many(np.frombuffer(b, dtype="<u4").tolist()) + d.finish())
+                    d, own = enc.decoder(), np.frombuffer(b, dtype="<u4")
+                    said = [d.feed_many(own[k : k + DECODE_IDS].tolist()) for k in range(0, len(own), DECODE_IDS)]
+                    out.append("".join([*said, d.finish()]))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
-                kept = batch.slice(part.start, len(part))
-                yield pa.RecordBatch.from_arrays([*[kept.column(k) for k in range(n_keep)], lists, pa.array(out, pa.string())], names=[*keep, ids, decoded])
+                own = batch.slice(part.start, len(part))
+                yield pa.RecordBatch.from_arrays([*[own.column(k) for k in range(n_keep)], lists, pa.array(out, pa.string())], names=[*keep, ids, decoded])
 
     return rows.mapInArrow(run, schema)
