@@ -24,8 +24,32 @@ def deal(keys: np.ndarray, entries: np.ndarray, parts: int) -> Iterator[tuple[in
             yield int(to[lo]), entries[lo:hi].tobytes()
 
 
-def gather(table: pa.Table, dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("blob").to_pylist()), dtype=dtype)
+def chunks(table: pa.Table, dtype: np.dtype) -> list[np.ndarray]:
+    """The entries of each chunk of the column blob, without a copy."""
+    out = []
+    for c in table.column("blob").chunks:
+        _, offsets, data = c.buffers()
+        if data is not None and len(c):
+            at = np.frombuffer(offsets, np.int32, len(c) + 1, 4 * c.offset)
+            out.append(np.frombuffer(data, np.uint8, int(at[-1] - at[0]), int(at[0])).view(dtype))
+    return out
+
+
+def in_pairs(table: pa.Table, dtype: np.dtype) -> np.ndarray:
+    """The entries whose key stands in another entry, too. Only the keys of all of them are laid out and sorted."""
+    parts = chunks(table, dtype)
+    keys = np.concatenate([p["key"] for p in parts]) if parts else np.zeros(0, dtype["key"])
+    keys.sort()
+    twice = keys[1:][keys[1:] == keys[:-1]]
+    del keys
+    if not len(twice):
+        return np.zeros(0, dtype)
+    twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])]
+    kept = []
+    for p in parts:
+        key = np.ascontiguousarray(p["key"])
+        kept.append(p[twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key])
+    return np.concatenate(kept)
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -83,14 +83,26 @@ class Stash:
         delete(self.spark, path)
 
 
-def width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def reproducible(df: DataFrame) -> bool:
+    """Is df a plain scan of files, whose rows come in the same order whenever it is read?"""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in ("LogicalRelation", "Relation", "Project", "Filter"):
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
 
+def numbered(df: DataFrame, name: str, stash: Stash) -> DataFrame:
+    """df with a unique number per row that is the same at each reading; what isn't a plain scan is written first."""
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    return out if reproducible(df) else stash.put(out, "numbered")
 
-def spread(df: DataFrame, *cols) -> DataFrame:
-    """Hash-partition by cols (or round-robin) into as many parts as the session shuffles into."""
-    n = width(df.sparkSession)
-    return df.repartition(n, *cols) if cols else df.repartition(n)
+
+def width(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def text_or_empty(col: str = "text"):

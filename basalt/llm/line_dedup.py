@@ -9,8 +9,8 @@ is similar is joined by union-find again. Of each component the first line by (i
 
 Bands: BANDS of ROWS values; a pair of similarity s shares one with chance 1 - (1 - s^ROWS)^BANDS: 0.9977 at 0.8. The
 sketch rules out a pair of 0.8 only if its share of equal values is five standard deviations below the expected one.
-Nulls: a null text stays null. Documents with equal id and equal text are one document: their lines stay or go alike.
-Other columns pass through.
+Nulls: a null text stays null. Rows may repeat: each is a document of its own, of equal ids the one with the lower text
+hash comes first. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bitmap, deal, gather, inside, unique_pairs
-from .common import Stash, width
+from .blobs import bitmap, deal, in_pairs, inside, unique_pairs
+from .common import Stash, numbered, width
 from .components import components
 from .minhash import band_keys, signatures, windows
-from .ngram_join import LEAST_SKETCH, exact_links, in_blocks
+from .ngram_join import LEAST_SKETCH, SLICE_CHARS, exact_links, in_blocks
 from .ngram_join import _nibbles as nibbles
 from .ngram_join import _share as share
 from .tokens import free_name, slices
@@ -35,8 +35,8 @@ from .tokens import free_name, slices
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 6, 0.8
 ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
 SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("sketch", "V32")])
-#: Entries that one task sorts, about; entries with sketches; lines of small groups that a task compares; rows at once.
-TASK_ENTRIES, SKETCHED_ENTRIES, TASK_LINES, CHUNK = 4_000_000, 1_000_000, 20_000, 1 << 16
+#: Entries that one task takes, about; entries with sketches; lines of small groups that a task compares; rows at once.
+TASK_ENTRIES, SKETCHED_ENTRIES, TASK_LINES, CHUNK = 2_000_000, 500_000, 20_000, 1 << 16
 
 
 def line_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +46,11 @@ def line_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     """Per line (UTF-8): the sorted distinct hashes of its shingles."""
-    hashes, counts = line_shingles([x.decode("utf-8", "surrogatepass") for x in lines], SHINGLE)
-    return [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+    texts, out = [x.decode("utf-8", "surrogatepass") for x in lines], []
+    for r in slices(texts, SLICE_CHARS):
+        hashes, counts = line_shingles(texts[r.start : r.stop], SHINGLE)
+        out += [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+    return out
 
 
 def line_id(line: str) -> bytes:
@@ -60,7 +63,7 @@ def _short(digests: list[bytes]) -> np.ndarray:
 
 def _distinct_lines(batch: pa.RecordBatch) -> Iterator[list[str]]:
     texts = batch.column(0).to_pylist()
-    for r in slices(texts):
+    for r in slices(texts, SLICE_CHARS):
         lines = {line for i in r for line in (texts[i] or "").split("\n")}
         yield [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
 
@@ -81,7 +84,7 @@ def in_company(texts: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
-        e = gather(table, ENTRY)
+        e = in_pairs(table, ENTRY)
         key, ids = unique_pairs(e["key"], e["id"])
         same = key[1:] == key[:-1]
         met = np.zeros(len(key), dtype=bool)
@@ -133,7 +136,7 @@ def loose_links(lines: DataFrame, parts: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for r in slices(texts):
+            for r in slices(texts, SLICE_CHARS):
                 sig = signatures(*line_shingles(texts[r.start : r.stop], SHINGLE), BANDS * ROWS)
                 keys = band_keys(sig, ROWS)
                 e = np.empty(keys.shape, dtype=SKETCHED)
@@ -144,7 +147,9 @@ def loose_links(lines: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
-        e = gather(table, SKETCHED)
+        e = in_pairs(table, SKETCHED)
+        if not len(e):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         e = e[np.lexsort((e["id"], e["key"]))]
         new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])])
         e = e[new]
@@ -173,7 +178,7 @@ def similar_lines(texts: DataFrame, entries: int, similarity: float, stash: Stas
     groups = components(stash.put(loose_links(lines, max(n, -(-count * BANDS // SKETCHED_ENTRIES))), "loose"), stash)
     members = lines.join(groups.select(F.col("v").alias("h"), "root"), "h")
     members = stash.put(members.select("root", "cls", F.lit(1).alias("copies"), F.col("line").cast("binary").alias("shingles")), "members")
-    linked = exact_links(in_blocks(members, max(n, -(-count // TASK_LINES))), similarity, shingle_sets)
+    linked = exact_links(in_blocks(members, 1, TASK_LINES), similarity, shingle_sets)
     return linked.select(F.col("cls").alias("a"), F.col("to").alias("b"))
 
 
@@ -185,18 +190,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     stash = stash or Stash(spark, "lines")
     removed, n_lines = free_name(docs, "removed"), free_name(docs, "n_lines")
+    row = free_name(docs, "__row")
+    rows = numbered(docs, row, stash)
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
-    placed = stash.put(split.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("id", "th", "place", F.unhex(F.md5(F.col("line").cast("binary"))).alias("cls")).distinct(), "places")
+    split = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(row).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
+    placed = stash.put(split.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("id", "th", "row", "place", F.unhex(F.md5(F.col("line").cast("binary"))).alias("cls")), "places")
     comp = components(similar_lines(texts, placed.count() * BANDS, similarity, stash), stash)
-    classes = placed.groupBy("cls").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.count("*").alias("n"))
-    grouped = classes.join(comp, classes["cls"] == comp["v"], "left").where("n > 1 or root is not null").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
-    by_class = grouped.join(stays, "root").select("cls", "stays")
-    gone = placed.join(by_class, "cls").where(~F.struct("id", "th", "place").eqNullSafe(F.col("stays")))
-    gone = gone.groupBy("id", "th").agg(F.array_sort(F.collect_list("place")).alias("__gone"))
-    rows = docs.withColumn("__th", F.xxhash64(text_col)).join(gone, docs[id_col].eqNullSafe(gone["id"]) & (F.col("__th") == gone["th"]), "left")
+    classes = placed.groupBy("cls").agg(F.count("*").alias("n"))
+    grouped = classes.join(comp, classes["cls"] == comp["v"], "left").where("n > 1 or root is not null").select("cls", F.coalesce("root", "cls").alias("root"))
+    members = stash.put(placed.join(grouped, "cls").select("root", "id", "th", "row", "place"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct("id", "th", "row", "place")).alias("first")).select("root", F.col("first.row").alias("stay_row"), F.col("first.place").alias("stay_place"))
+    gone = members.select("root", "row", "place").join(first, "root").where("row <> stay_row or place <> stay_place")
+    places = free_name(docs, "__places")
+    gone = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list("place")).alias(places))
+    rows = rows.join(gone, row, "left")
     lines = F.split(text_col, "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    return rows.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias(removed), F.coalesce(F.size(lines), F.lit(0)).alias(n_lines))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(left)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(places, F.array().cast("array<int>")).alias(removed), F.coalesce(F.size(lines), F.lit(0)).alias(n_lines))

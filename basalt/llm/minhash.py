@@ -19,19 +19,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def windows(items: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k items inside each list, and their number by list; a shorter list is one run."""
-    ends = np.cumsum(lens)
-    starts = ends - lens
-    counts = np.where(lens >= k, lens - k + 1, (lens > 0).astype(lens.dtype))
-    total = int(counts.sum())
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
-    left = np.repeat(ends, counts) - at
-    h = np.zeros(total, dtype=np.uint64)
-    padded = np.concatenate([items, np.zeros(k, dtype=np.uint64)])
-    for j in range(k):
-        part = padded[at + j]
-        h = h * _MIX + (part + np.uint64(1) if (left > j).all() else np.where(left > j, part + np.uint64(1), np.uint64(0)))
-    return mix(h), counts
+    """Hashes of all runs of k items inside each list, and their number by list; a shorter list is one run.
+
+    Runs are hashed as if the lists were one; those that cross an end are left out.
+    """
+    lens = lens.astype(np.int64)
+    counts = np.where(lens >= k, lens - k + 1, (lens > 0).astype(np.int64))
+    total = int(lens.sum())
+    starts = np.cumsum(lens) - lens
+    padded = np.concatenate([items, np.zeros(k - 1, dtype=np.uint64)]) + np.uint64(1)
+    h = padded[:total].copy()
+    for j in range(1, k):
+        h *= _MIX
+        h += padded[j : j + total]
+    short = np.flatnonzero((lens > 0) & (lens < k))
+    if len(short):
+        own = np.zeros(len(short), dtype=np.uint64)
+        for j in range(k):
+            own = own * _MIX + np.where(lens[short] > j, padded[np.minimum(starts[short] + j, total - 1)], np.uint64(0))
+        h[starts[short]] = own
+    inside = np.ones(total, dtype=bool)
+    lost = lens - counts  # the last places of each list start no run
+    inside[np.repeat(starts + counts - (np.cumsum(lost) - lost), lost) + np.arange(int(lost.sum()))] = False
+    return mix(h[inside]), counts
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
@@ -72,11 +82,3 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     for j in range(rows):
         h = h * _MIX + sig[:, j::rows][:, : h.shape[1]].astype(np.uint64) + np.uint64(1)
     return mix(h + np.arange(h.shape[1], dtype=np.uint64)[None, :] * np.uint64(0x632BE59BD9B4E019))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
-    if not len(a) or not len(b):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)

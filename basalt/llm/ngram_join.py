@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bitmap, deal, gather, inside, unique_pairs
+from .blobs import bitmap, deal, in_pairs, inside, unique_pairs
 from .bpe import Memo
 from .common import Stash, width
 from .components import Sets, components
@@ -34,9 +34,12 @@ WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, TARGET, SKETCH = 24, 8, 0.9999, 64
 #: The least share of equal sketch values that is still looked at: five standard deviations below a pair at 0.8.
 LEAST_SKETCH = 0.55
-#: Distinct documents of a block, and about how many documents of small groups a task takes.
-BLOCK, TASK_DOCS = 800, 1500
-TASK_ENTRIES = 1_000_000
+#: Distinct documents of a block, and its shingles, about; documents of small groups that a task takes; shingles that
+#: are laid out at once; members of a group that is compared pair by pair.
+BLOCK, BLOCK_SHINGLES, TASK_DOCS, RUN, FEW = 800, 2_000_000, 1500, 500_000, 5
+TASK_ENTRIES = 500_000
+#: Characters that are shingled at once; sized for a processor's cache.
+SLICE_CHARS = 250_000
 ENTRY = np.dtype([("key", "<u4"), ("rest", "V3"), ("id", "<i8"), ("sketch", "V32")])
 
 
@@ -91,19 +94,21 @@ def _share(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, parts: int, words: int, depth: int) -> DataFrame:
-    """Rows of two kinds: (id, cls) for each document, and (part, blob) of forest entries."""
+    """Rows of two kinds: (id, cls, h, th) for each document (its class, that one's short id, its text's hash), and
+    (part, blob) of forest entries."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cls", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cls", T.BinaryType()), T.StructField("h", T.LongType()), T.StructField("th", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for r in slices(texts):
+            for r in slices(texts, SLICE_CHARS):
                 sets = doc_shingles([texts[i] for i in r], words)
                 cls = [set_id(s) if len(s) else None for s in sets]
                 n = len(r)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r.start, n), pa.array(cls, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
+                short = pa.array([int.from_bytes(c[:8], "little", signed=True) if c else None for c in cls], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r.start, n), pa.array(cls, pa.binary()), short, batch.column(2).slice(r.start, n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
                 own = list({c: i for i, c in enumerate(cls) if c}.values())  # a copy of each set
                 if not own:
                     continue
@@ -121,16 +126,18 @@ def describe(docs: DataFrame, id_col: str, text_col: str, parts: int, words: int
                 e["sketch"] = np.ascontiguousarray(_nibbles(sig)).view("V32")
                 got = list(zip(*deal(keys.ravel(), e.ravel(), parts), strict=True))
                 m = len(got[0])
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.schema.field(0).type), pa.nulls(m, pa.binary()), pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, batch.schema.field(0).type), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 def loose_links(blobs: DataFrame) -> DataFrame:
     """(a, b): short class ids that a prefix group joins."""
 
     def meet(table: pa.Table) -> pa.Table:
-        e = gather(table, ENTRY)
+        e = in_pairs(table, ENTRY)
+        if not len(e):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         rest = np.frombuffer(e["rest"].tobytes(), np.uint8).reshape(-1, 3)
         e = e[np.lexsort((e["id"], rest[:, 2], rest[:, 1], rest[:, 0], e["key"]))]  # tries, in sorted order
         new = np.concatenate([[True], (e["key"][1:] != e["key"][:-1]) | (e["id"][1:] != e["id"][:-1])])
@@ -164,20 +171,45 @@ def loose_links(blobs: DataFrame) -> DataFrame:
 
 
 def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
-    """Sizes of the intersections of sets[:split] with sets[split:] (split 0: of all with all)."""
+    """Sizes of the intersections of sets[:split] with sets[split:] (split 0: of all with all), a bounded part at a time."""
+
+    def runs(first: int, end: int) -> list[range]:
+        out, size = [], 0
+        for i in range(first, end):
+            if not out or size + len(sets[i]) > RUN:
+                out.append(range(i, i))
+                size = 0
+            out[-1], size = range(out[-1].start, i + 1), size + len(sets[i])
+        return out
+
+    n = len(sets)
+    out = np.zeros((n, n) if not split else (split, n - split), dtype=np.float32)
+    for a in runs(0, split or n):
+        for b in runs(split, n):
+            if split or a.start < b.start:
+                got = _common(sets[a.start : a.stop] + sets[b.start : b.stop], len(a))
+                out[a.start : a.stop, b.start - split : b.stop - split] = got
+                if not split:
+                    out[b.start : b.stop, a.start : a.stop] = got.T
+            elif a.start == b.start:
+                out[a.start : a.stop, a.start : a.stop] = _common(sets[a.start : a.stop], 0)
+    return out
+
+
+def _common(sets: list[np.ndarray], split: int) -> np.ndarray:
     lens = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, col = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), lens)
-    common = np.bincount(col, minlength=len(values)) > 1
-    rank = np.cumsum(common) - 1
-    keep = common[col]
-    row, col = row[keep], rank[col[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), lens)[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    first = np.flatnonzero(new)
+    often = np.diff(np.append(first, len(flat))) > 1  # values that more than one set has
+    keep = np.repeat(often, np.diff(np.append(first, len(flat))))
+    row, col = row[keep], (np.cumsum(new[keep]) - 1).astype(np.int32)
     a, b = (len(sets), len(sets)) if not split else (split, len(sets) - split)
     out = np.zeros((a, b), dtype=np.float32)
     step = 4096
-    for lo in range(0, int(common.sum()), step):
+    for lo in range(0, int(often.sum()), step):
         i, j = np.searchsorted(col, [lo, lo + step])
         m = np.zeros((len(sets), step), dtype=np.float32)
         m[row[i:j], col[i:j] - lo] = 1
@@ -185,6 +217,20 @@ def overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out
 
 
+def many_links(sets: list[np.ndarray], split: int, similarity: float) -> np.ndarray:
+    """The adjacency matrix of all sets, or only between sets[:split] and sets[split:]."""
+    n = np.array([len(s) for s in sets], dtype=np.float64)
+    both = overlaps(sets, split).astype(np.float64)
+    a, b = (slice(None), slice(None)) if not split else (slice(0, split), slice(split, None))
+    hit = both >= similarity * (n[a][:, None] + n[b][None, :] - both) - 1e-9
+    if not split:
+        np.fill_diagonal(hit, False)
+        return hit
+    out = np.zeros((len(sets), len(sets)), dtype=bool)
+    out[:split, split:], out[split:, :split] = hit, hit.T
+    return out
+
+
 def forest(hit: np.ndarray) -> np.ndarray:
     """Per vertex of a symmetric adjacency matrix: the first vertex of its component. Each row is read once."""
     root = np.full(len(hit), -1, dtype=np.int64)
@@ -196,15 +242,37 @@ def forest(hit: np.ndarray) -> np.ndarray:
     return root
 
 
+def few_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The adjacency matrix of a handful of sets, pair by pair; those of too different size aren't looked at."""
+    hit = np.zeros((len(sets), len(sets)), dtype=bool)
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+                continue
+            c = np.concatenate([a, b])
+            c.sort(kind="stable")  # two sorted runs
+            both = int(np.count_nonzero(c[1:] == c[:-1]))
+            hit[i, j] = hit[j, i] = both >= similarity * (len(c) - both) - 1e-9
+    return hit
+
+
 def _frombytes(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype="<u8") for b in blobs]
 
 
-def in_blocks(members: DataFrame, n_tasks: int) -> DataFrame:
-    """members: root, cls and more. A row for each pair of blocks (i, j) that a member's group compares it in; small
-    groups are dealt to n_tasks tasks."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("m"))
-    dealt = members.join(sizes, "root").where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+def in_blocks(members: DataFrame, shingle_bytes: int, task_rows: int) -> DataFrame:
+    """members: root, cls, copies, shingles. A row for each pair of blocks (i, j) that a member's group compares it in.
+
+    shingle_bytes: of the column shingles for each shingle. A block has about BLOCK members and BLOCK_SHINGLES shingles
+    at most; small groups are dealt to tasks of about task_rows rows and as many shingles as two blocks have.
+    """
+    size = F.sum(F.length("shingles").cast("long"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("m"), size.alias("bytes"))
+    total = members.agg(F.count("*").alias("n"), size.alias("bytes")).first()
+    n_tasks = max(width(members.sparkSession), -(-total["n"] // task_rows), -(-(total["bytes"] or 0) // (2 * BLOCK_SHINGLES * shingle_bytes)))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / (BLOCK_SHINGLES * shingle_bytes)), F.lit(1)).cast("int")
+    dealt = members.join(sizes, "root").where("m > 1").withColumn("blocks", blocks)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.xxhash64("root").bitwiseOR(F.lit(1 << 62)))
@@ -222,6 +290,7 @@ def exact_links(members: DataFrame, similarity: float, sets_of: Callable[[list[b
         for r, x in enumerate(root):
             groups.setdefault(x, []).append(r)
         out: list[tuple[bytes, int, bytes]] = []
+        all_sets = sets_of(blobs)
         for rows in groups.values():
             if cross:
                 rows.sort(key=lambda r: block[r])
@@ -230,18 +299,14 @@ def exact_links(members: DataFrame, similarity: float, sets_of: Callable[[list[b
                     continue
             else:
                 split = 0
-            sets = sets_of([blobs[r] for r in rows])
-            n, w = np.array([len(s) for s in sets], dtype=np.float64), np.array([copies[r] for r in rows])
-            both = overlaps(sets, split).astype(np.float64)
-            a, b = (slice(None), slice(None)) if not split else (slice(0, split), slice(split, None))
-            hit = both >= similarity * (n[a][:, None] + n[b][None, :] - both) - 1e-9
-            if not split:
-                np.fill_diagonal(hit, False)
-            if split:
-                both_ways = np.zeros((len(rows), len(rows)), dtype=bool)
-                both_ways[:split, split:], both_ways[split:, :split] = hit, hit.T
-                hit = both_ways
-            links, to = hit @ w, forest(hit)
+            sets = [all_sets[r] for r in rows]
+            if not cross and len(rows) <= FEW:
+                hit = few_links(sets, similarity)
+            else:
+                hit = many_links(sets, split, similarity)
+            if not hit.any():
+                continue
+            links, to = hit @ np.array([copies[r] for r in rows]), forest(hit)
             for k in np.flatnonzero(hit.any(axis=1)).tolist():
                 out.append((cls[rows[k]], int(links[k]), cls[rows[to[k]]]))
         cols = list(zip(*out, strict=True)) or [[], [], []]
@@ -258,29 +323,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     depth = matched_depth(similarity, TREES, DEPTH, TARGET)
     parts = max(4 * width(spark), -(-docs.count() * TREES // TASK_ENTRIES))
     both = stash.put(describe(docs, id_col, text_col, parts, words, depth), "described")
-    ids = both.where("part is null").select("id", "cls")
+    ids = both.where("part is null").select("id", "cls", "h", "th")
     loose = stash.put(loose_links(both.where("part is not null").select("part", "blob")), "loose")
     groups = components(loose, stash)
-    bits = spark.sparkContext.broadcast(bitmap(groups, "v"))
+    # of each class in a group one text is read again; others with that hash do no harm, as classes are joined exactly
+    wanted = ids.join(groups.select(F.col("v").alias("h")), "h", "left_semi").groupBy("cls").agg(F.min("th").alias("th"))
+    bits = spark.sparkContext.broadcast(bitmap(wanted, "th"))
     classes = ids.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for r in slices(texts):
+            texts = batch.column(0).filter(pa.array(inside(bits.value, batch.column(1).to_numpy()))).to_pylist()
+            for r in slices(texts, SLICE_CHARS):
                 found = {set_id(s): s for s in doc_shingles([texts[i] for i in r], words) if len(s)}
                 if not found:
                     continue
                 names = list(found)
                 short = np.frombuffer(b"".join(c[:8] for c in names), "<i8")
-                hit = np.flatnonzero(inside(bits.value, short)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(short[hit]), pa.array([names[k] for k in hit], pa.binary()), pa.array([found[names[k]].astype("<u8").tobytes() for k in hit], pa.binary())], names=["h", "cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(names, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found.values()], pa.binary())], names=["h", "cls", "shingles"])
 
-    sets = docs.select(text_col).mapInArrow(fetch, "h long, cls binary, shingles binary").groupBy("h", "cls").agg(F.first("shingles").alias("shingles"))
+    sets = docs.select(text_col, F.xxhash64(text_col)).mapInArrow(fetch, "h long, cls binary, shingles binary").groupBy("h", "cls").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(groups.select(F.col("v").alias("h"), "root"), "h")
     members = stash.put(sets.join(classes.select("cls", "copies"), "cls").select("root", "cls", "copies", "shingles"), "members")
-    n_tasks = max(width(spark), -(-members.count() // TASK_DOCS))
-    linked = stash.put(exact_links(in_blocks(members, n_tasks), similarity), "links")
+    linked = stash.put(exact_links(in_blocks(members, 8, TASK_DOCS), similarity), "links")
     groups2 = components(linked.select(F.col("cls").alias("a"), F.col("to").alias("b")), stash)
     counted = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.join(counted, "cls", "left").join(groups2.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
