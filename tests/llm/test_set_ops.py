@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm.balltree import BallTree, integer_vectors, top_k
 from basalt.llm.chat import build_conversations
@@ -123,7 +124,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0, None]), (902, [float("nan")] * 8), (903, [float(v) for v in x[0]])]
     vec = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding", 1024)
     got = {}
-    for r in top_k(vec, vec.where("id % 50 = 0"), 5, shard_rows=100, block_rows=4).collect():
+    for r in top_k(vec, F.col("id") % 50 == 0, 5, shard_rows=100, block_rows=4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     m = {i: np.floor(1024 * np.array(v, dtype=np.float64)).astype(np.int64) for i, v in rows if i not in (900, 901, 902)}
     assert set(got) == {i for i in m if i % 50 == 0}
