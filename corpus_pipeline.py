@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, quality rules, line dedup, near-duplicate join, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; what it returns is written
-as Parquet and read again as the next one's docs. All but the last return the columns of docs. Documents with a
-repeated id are judged alike by the first two stages; the near-duplicate stage keeps one row of each group.
+as Parquet and read again as the next one's docs. All but the last return the columns of docs. Ids may repeat: each row
+is judged by itself, and the near-duplicate stage keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import Stash, ship, table
+from basalt.llm.common import Stash, numbered, ship, table
 from basalt.llm.line_dedup import dedup_lines
 from basalt.llm.ngram_join import near_duplicates
 from basalt.llm.packing import pack_documents
 from basalt.llm.quality import judge
+from basalt.llm.tokens import free_name
 from basalt.llm.toxicity import train
 
 CAPACITY, END_ID = 2048, 0
@@ -24,15 +25,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     ship(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
-    rows = model.score(docs.withColumn("__text", F.col("text")))
-    return rows.where("predicted = 0").select(*[F.col("__text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    _, predicted, _ = model.names(docs)
+    return model.score(docs, keep_text=True).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     ship(spark)
-    bad = judge(docs, table(spark, sf_dir, "labels")).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    stash, row = Stash(spark, "quality"), free_name(docs, "__row")
+    rows = numbered(docs, row, stash)
+    bad = judge(rows, table(spark, sf_dir, "labels"), stash=stash, keep=(row,)).where("not kept").select(row)
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +49,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays; of its equal rows, one."""
     ship(spark)
     stash = Stash(spark, "near")
-    rows = stash.put(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    known = near_duplicates(rows.select(F.struct("doc_id", "__row").alias("key"), "text"), "key", stash=stash)
-    stays = known.where(F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key")["__row"].alias("__row"))
-    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "__row")
+    rows = numbered(docs, row, stash)
+    known = near_duplicates(rows.select(F.struct("doc_id", row).alias("key"), "text"), "key", stash=stash)
+    stays = known.where(F.col("key").eqNullSafe(F.col("class_id"))).select(F.col("key")[row].alias(row))
+    return rows.join(stays, row, "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
