@@ -17,17 +17,16 @@ ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "
 
 def quoted(text: Column) -> Column:
     """A JSON string; texts of plain ASCII aren't taken apart."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    code = lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
 
-    def escape(i: Column) -> Column:
-        c = code(i)
+    def escape(unit: Column) -> Column:
         out = F
         for k, v in ESCAPES.items():
-            out = out.when(c == k, v)
-        return out.when((c >= 32) & (c < 128), F.char(c)).otherwise(F.concat(F.lit("\\u"), F.lower(F.substring(units, i * 4 + 1, F.lit(4)))))
+            out = out.when(unit == f"{k:04X}", v)
+        plain = F.decode(F.unhex(F.substring(unit, 3, 2)), "US-ASCII")
+        return out.when((unit >= "0020") & (unit < "0080"), plain).otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
 
-    each = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), escape), "")
+    each = F.array_join(F.transform(units, escape), "")
     body = F.when(text.rlike('^[ !#-\\[\\]-\\x7e]*\\z'), text).otherwise(each)
     return F.concat(F.lit('"'), body, F.lit('"'))
 

@@ -61,15 +61,6 @@ def is_negative(formula: Column) -> Column:
     return F.regexp_replace(F.lower(formula), "\\s+", " ").rlike(NEGATIVE)
 
 
-def stable_id(prefix: str, key: Column) -> Column:
-    """prefix- and 24 hex digits of the hash of the arguments as a JSON array (ASCII keys)."""
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat(F.lit('["'), key, F.lit('"]')), 256), 1, 24))
-
-
-def clean_prefix(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z0-9_-]", "-")
-
-
 def module_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "\\.py$", ""), "/__init__$", ""), "/", ".")
 

@@ -42,19 +42,6 @@ def progress_vector(classed: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def decide_transition(comparable: Column, unknown: Column, t0: Column, t1: Column, r0: Column, r1: Column, m0: Column, m1: Column) -> Column:
-    """Target passes, regressions and mechanical failures before and after: the decision. Any unknown rolls back."""
-    target = t1 > t0
-    fewer = (t1 == t0) & (r0 > r1)
-    healthier = (m0 > m1) & (m1 == 0)
-    return (
-        F.when(~comparable | (unknown > 0), "ROLLBACK")
-        .when(target & (r1 > 0), "KEEP_TRIAL_FOR_REGRESSION_REPAIR")
-        .when((target | fewer | healthier) & (r1 == 0) & (m1 == 0), "PROMOTE")
-        .otherwise("ROLLBACK")
-    )
-
-
 #: Which strategies give which tier.
 TIER_B = ["issue_executable_witness", "return_or_exception_api_contract"]
 TIER_C = ["metamorphic_relation", "baseline_differential_relation", "object_state_or_protocol_relation", "serialization_or_rendering"]
@@ -81,8 +68,7 @@ def coverage_status(statuses: Column) -> Column:
     has = lambda s: F.array_contains(statuses, s)
     return (
         F.when(has("PRESERVATION_RISK"), "PRESERVATION_RISK")
-        .when(has("FAILING"), "FAILING")
-        .when(has("COUNTEREXAMPLE_OPEN"), "COUNTEREXAMPLE_OPEN")
+        .when(has("FAILING") | has("COUNTEREXAMPLE_OPEN"), "FAILING")
         .when((F.size(statuses) == 1) & has("PASSING"), "PASSING")
         .when(has("UNBOUND"), "UNBOUND")
         .when((F.size(statuses) > 0) & (F.size(F.array_except(statuses, F.array(F.lit("ORACLE_UNAVAILABLE"), F.lit("ENVIRONMENT_BLOCKED")))) == 0), "UNTESTABLE")
@@ -94,6 +80,26 @@ def challenge_score(authority: Column, risk: Column, relevance: Column, gain: Co
     return authority * risk * relevance * gain / F.greatest(cost, F.lit(0.1))
 
 
+#: What an outcome weighs in a losing core; 1 for any other, 3 for a unit without outcomes.
+PRESSURE = {"FAIL": 4.0, "BLOCKED": 3.0, "UNKNOWN": 2.5, "FLAKY": 2.5, "UNKNOWN_EXECUTION": 2.5, "UNKNOWN_ORACLE": 2.0, "BLOCKED_EXTERNAL": 2.0, "UNSUPPORTED": 2.0}
+
+
+def losing_components(units: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """component, pressure, units (losing ones): each losing unit adds its weight, its worst outcome's pressure, half a
+    point per bypass and three quarters per frontier.
+
+    units: component, unit, weight, bypasses, frontiers. outcomes: unit, status. A unit loses if it has no outcome, or one
+    that isn't a pass.
+    """
+    rank = F
+    for status, p in PRESSURE.items():
+        rank = rank.when(F.col("status") == status, p)
+    seen = outcomes.groupBy("unit").agg(F.max(rank.otherwise(1.0)).alias("worst"), F.every(F.col("status") == "PASS").alias("passes"))
+    losing = units.join(seen, "unit", "left").where("passes is null or not passes")
+    each = F.col("weight") + F.coalesce("worst", F.lit(3.0)) + F.coalesce("bypasses", F.lit(0)) * 0.5 + F.coalesce("frontiers", F.lit(0)) * 0.75
+    return losing.groupBy("component").agg(F.round(F.sum(each), 6).alias("pressure"), F.count("*").alias("units"))
+
+
 def partition_of(status: Column) -> Column:
     """passed, failed, blocked or unknown; UNKNOWN is never taken for a pass."""
     return F.when(status == "PASS", "passed").when(status == "FAIL", "failed").when(status.isin("BLOCKED", "BLOCKED_EXTERNAL"), "blocked").otherwise("unknown")

@@ -157,19 +157,154 @@ def _back_from_roots(inside: DataFrame, rounds: Rounds) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): undirected; component is the least node. Least labels with pointer jumping."""
+    """(node, component): undirected; component is the least node.
+
+    A round hangs each node under its least neighbour, shortens these trees to their roots, and contracts the edges to
+    the roots: edges inside a tree vanish and parallel ones fall together, so each round's table is a fraction of the
+    last one's. Hubs are split: a node's neighbours are reduced to their least one before the shuffle.
+    """
     rounds = Rounds(edges.sparkSession, "cc")
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = rounds.put(e.union(e.select("b", "a")).where("a is not null and b is not null").distinct())
-    labels = rounds.put(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "r").alias("k"))
-        up = labels.select(F.col("node").alias("k"), F.col("component").alias("up"))
-        new = rounds.put(low.join(up, "k").select("node", "old", F.least("k", "up").alias("component")))
-        labels = new.select("node", "component")
-        if not new.where("old <> component").limit(1).count():
-            return labels
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    alone = rounds.put(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct())
+    left = rounds.put(ends.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    tops: DataFrame | None = None  # node, component so far
+    while left.limit(1).count():
+        near = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        tree = rounds.put(near.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("up")))
+        while True:
+            higher = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            step = rounds.put(tree.join(higher, "up").select("node", "up", "top"))
+            tree = step.select("node", F.col("top").alias("up"))
+            if not step.where("up <> top").limit(1).count():
+                break
+        if tops is None:
+            tops = tree.select("node", F.col("up").alias("component"))
+        else:
+            moved = tree.select(F.col("node").alias("component"), "up")
+            tops = rounds.put(tops.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        ups = [tree.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")) for c in ("a", "b")]
+        far = left.join(ups[0], "a").join(ups[1], "b").where("ua <> ub")
+        left = rounds.put(far.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    if tops is None:
+        return alone.select("node", F.col("node").alias("component"))
+    return alone.join(tops, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, forbidden: list[str] | None = None) -> DataFrame:
+    """place, node, edge_id (by which it is entered; null at the start): the first shortest path, no row if there is none.
+
+    edges: edge_id, src, dst, pos (the target's place in its hyperedge). Of all shortest paths the one with the least
+    sequence of (edge_id, pos) is taken, which is the one that a search finds that visits edges in this order. A
+    forbidden start or goal has no path. The path is laid out by doubling steps, in as many rounds as its length has bits.
+    """
+    banned = forbidden or []
+    if start in banned or goal in banned:
+        return edges.limit(0).select(F.lit(0).alias("place"), F.col("dst").alias("node"), "edge_id")
+    spark, rounds = edges.sparkSession, Rounds(edges.sparkSession, "path")
+    open_ = rounds.put(edges.where(~F.col("src").isin(banned) & ~F.col("dst").isin(banned)).select("edge_id", "src", "dst", "pos"))
+    far = hops(open_, spark.createDataFrame([(goal,)], "node string"), stop=F.col("node") == start, forward=False)
+    d = [far.select(F.col("node").alias(c), F.col("hops").alias(f"d{c}")) for c in ("src", "dst")]
+    down = open_.join(d[0], "src").join(d[1], "dst").where("dsrc = ddst + 1")
+    jump = rounds.put(down.groupBy(F.col("src").alias("node")).agg(F.min(F.struct("edge_id", "pos", "dst")).alias("x")).select("node", "x.edge_id", F.col("x.dst").alias("to")))
+    found = far.where(F.col("node") == start).select(F.lit(0).alias("place"), "node", F.lit(None).cast(open_.schema["edge_id"].dataType).alias("edge_id"))
+    length = 1
+    first = found.limit(1).count()
+    leap = jump
+    while first:
+        new = found.join(leap, "node").select((F.col("place") + length).alias("place"), F.col("to").alias("node"))
+        new = rounds.put(new)
+        if not new.limit(1).count():
+            break
+        found = rounds.put(found.select("place", "node").unionByName(new))
+        after = leap.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        leap = rounds.put(leap.join(after, "to").select("node", F.col("then").alias("to")))
+        length *= 2
+    entered = found.select((F.col("place") + 1).alias("place"), "node").join(jump.select("node", "edge_id"), "node").select("place", "edge_id")
+    return found.select("place", "node").join(entered, "place", "left").select("place", "node", "edge_id")
+
+
+def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with the new ones, rejected: edge_id, reason). Edges: edge_id, kind, source_ids, target_ids, condition,
+    confidence; nodes: node. An edge with an unknown end is rejected, and so is one whose id another edge has; the same
+    edge again changes nothing."""
+    ends = new.select("edge_id", F.explode(F.array_union("source_ids", "target_ids")).alias("node"))
+    lost = ends.join(nodes.select("node"), "node", "left_anti").select("edge_id").distinct().withColumn("lost", F.lit(True))
+    columns = [c for c in edges.columns if c != "edge_id"]
+    was = edges.select("edge_id", F.struct(*columns).alias("was"))
+    first = new.groupBy("edge_id").agg(F.min(F.struct(*columns)).alias("now"), F.max(F.struct(*columns)).alias("last"))
+    rows = first.join(lost, "edge_id", "left").join(was, "edge_id", "left")
+    reason = F.when(F.col("lost"), "MISSING_NODE").when((F.col("now") != F.col("last")) | ~F.coalesce("was", "now").eqNullSafe(F.col("now")), "ID_COLLISION")
+    judged = rows.withColumn("reason", reason)
+    good = judged.where("reason is null and was is null").select("edge_id", "now.*")
+    return edges.unionByName(good), judged.where("reason is not null").select("edge_id", "reason")
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without the nodes of `gone` (column node) and all edges that touch one."""
+    touched = edges.select("edge_id", F.explode(F.array_union("source_ids", "target_ids")).alias("node")).join(gone.select("node").distinct(), "node", "left_semi").select("edge_id").distinct()
+    return nodes.join(gone.select("node").distinct(), "node", "left_anti"), edges.join(touched, "edge_id", "left_anti")
+
+
+#: Relations that carry a change on.
+IMPACT_RELATIONS = ["calls", "may_call", "return_flow", "exception_flow", "raises", "catches", "data_flow", "def_use", "alias", "field_flow", "state_read", "state_write", "dispatch", "protocol_selected", "protocol_candidate", "protocol_fallback", "serializes", "external_effect", "observes", "test_coverage"]
+CONSUMERS = ["call_site", "branch", "protocol_operation", "external_interface", "observation_point"]
+
+
+def impact_cone(edges: DataFrame, nodes: DataFrame, sources: DataFrame, frontiers: DataFrame, relations: list[str] = IMPACT_RELATIONS) -> DataFrame:
+    """role, id: what a change of the sources (column node) reaches, and what that is.
+
+    edges: edge_id, kind, src, dst; nodes: node, kind, is_test; frontiers: frontier, owner, status. Roles: downstream,
+    affected_edge (both ends inside), caller, consumer, handler, serializer, preservation_test, frontier.
+    """
+    rounds = Rounds(edges.sparkSession, "cone")
+    live = edges.where(F.col("kind").isin(relations))
+    inside = rounds.put(reachable(live, sources.select("node").distinct()))
+    role = lambda df, c, name: df.select(F.lit(name).alias("role"), F.col(c).cast("string").alias("id"))
+    to = inside.select(F.col("node").alias("dst"))
+    at = inside.select(F.col("node").alias("src"))
+    entering = edges.join(to, "dst", "left_semi")
+    leaving = edges.join(at, "src", "left_semi")
+    known = nodes.join(inside, "node", "left_semi")
+    serial = F.col("kind") == "serializes"
+    parts = [
+        role(inside, "node", "downstream"),
+        role(live.join(at, "src", "left_semi").join(to, "dst", "left_semi"), "edge_id", "affected_edge"),
+        role(entering.where(F.col("kind").isin("calls", "may_call")), "src", "caller"),
+        role(known.where(F.col("kind").isin(CONSUMERS)), "node", "consumer"),
+        role(known.where("kind = 'exception'"), "node", "handler"),
+        role(entering.where(F.col("kind").isin("catches", "exception_flow")), "dst", "handler"),
+        role(entering.where(serial), "dst", "serializer"),
+        role(leaving.where(serial), "src", "serializer"),
+        role(known.where("is_test"), "node", "preservation_test"),
+        role(frontiers.where("status = 'OPEN'").join(inside.select(F.col("node").alias("owner")), "owner", "left_semi"), "frontier", "frontier"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def repair_cut(edges: DataFrame, nodes: DataFrame, entries: DataFrame, observations: DataFrame, units: DataFrame, blast: DataFrame) -> DataFrame:
+    """node, covered, distance, score of every legal node between entries and observations; the best first has rank 1.
+
+    edges: src, dst (those a change flows along); nodes: node, legal; entries, observations: node; units: unit, node (a
+    unit's slice); blast: node, blast, conflicts (how far a change of it reaches, and how many tests it meets). A node's
+    score is 10 for each unit it is in, less its distance to the nearest observation, a twentieth of its blast and 3 per
+    conflict.
+    """
+    from pyspark.sql import Window
+
+    rounds = Rounds(edges.sparkSession, "cut")
+    flow = rounds.put(edges.select("src", "dst").distinct())
+    forward = reachable(flow, entries)
+    back = hops(flow, observations, forward=False).withColumnRenamed("hops", "distance")
+    between = back.join(forward, "node", "left_semi").join(nodes.where("legal").select("node"), "node", "left_semi")
+    covered = units.groupBy("node").agg(F.countDistinct("unit").alias("covered"))
+    rows = between.join(covered, "node", "left").join(blast, "node", "left").na.fill(0, ["covered", "blast", "conflicts"])
+    score = F.col("covered") * 10.0 - F.col("distance") - 0.05 * F.col("blast") - 3.0 * F.col("conflicts")
+    ranked = rows.withColumn("score", F.round(score, 6))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "node"))
+    return ranked.select("node", F.col("covered").cast("long").alias("covered"), F.col("distance").cast("long").alias("distance"), "score", place.alias("rank"))
 
 
 def path_confidence(paths: DataFrame, by: list[str], confidence: str) -> DataFrame:

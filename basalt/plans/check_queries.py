@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import decisions as d
+from ..operators.requirements import unresolved_rows
 from .projections import OUT, RUNS, check_runs, outcomes, table
+from .views import View, cte
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,21 +57,6 @@ def confirmed_failures(spark, sf_dir):
     return _compared(spark, sf_dir).where(F.col("class").isin("TARGET_REGRESSED", "PRESERVATION_REGRESSION")).select("check_id", "role")
 
 
-@query(f"""WITH {RUNS}, s AS (SELECT c_nationkey AS nation, count(*) FILTER (role = 'TARGET' AND baseline = 'PASS') AS t0, count(*) FILTER (role = 'TARGET' AND patched = 'PASS') AS t1,
-  count(*) FILTER (role = 'PRESERVATION' AND baseline = 'FAIL') AS r0, count(*) FILTER (role = 'PRESERVATION' AND patched = 'FAIL') AS r1,
-  count(*) FILTER (role = 'EXPLORATION' AND baseline = 'FAIL') AS m0, count(*) FILTER (role = 'EXPLORATION' AND patched = 'FAIL') AS m1
-  FROM compared JOIN customer ON check_id = c_custkey GROUP BY c_nationkey)
-SELECT nation, CASE WHEN t1 > t0 AND r1 > 0 THEN 'KEEP_TRIAL_FOR_REGRESSION_REPAIR'
-  WHEN (t1 > t0 OR (t1 = t0 AND r0 > r1) OR (m0 > m1 AND m1 = 0)) AND r1 = 0 AND m1 = 0 THEN 'PROMOTE' ELSE 'ROLLBACK' END AS decision FROM s""")
-def decide_transition(spark, sf_dir):
-    """Per nation; unknown checks are told of, but here they don't make a nation incomparable (nearly all have one)."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    rows = _compared(spark, sf_dir).join(c, F.col("check_id") == F.col("c_custkey"))
-    n = lambda role, side, status: F.count_if((F.col("role") == role) & (F.col(side) == status))
-    sums = rows.groupBy("nation").agg(n("TARGET", "baseline", "PASS").alias("t0"), n("TARGET", "patched", "PASS").alias("t1"), n("PRESERVATION", "baseline", "FAIL").alias("r0"), n("PRESERVATION", "patched", "FAIL").alias("r1"), n("EXPLORATION", "baseline", "FAIL").alias("m0"), n("EXPLORATION", "patched", "FAIL").alias("m1"))
-    return sums.select("nation", d.decide_transition(F.lit(True), F.lit(0), *[F.col(x) for x in ("t0", "t1", "r0", "r1", "m0", "m1")]).alias("decision"))
-
-
 @query(f"WITH {RUNS} SELECT segment, CASE status WHEN 'PASS' THEN 'passed' WHEN 'FAIL' THEN 'failed' ELSE 'unknown' END AS part, count(*) AS n FROM runs WHERE side = 'PATCH' GROUP BY ALL")
 def state_information(spark, sf_dir):
     return _sides(spark, sf_dir)[1].groupBy("segment", d.partition_of(F.col("status")).alias("part")).agg(F.count("*").alias("n"))
@@ -103,14 +90,22 @@ def repaired_paths(spark, sf_dir):
     return ok.where("kind = 'PRESERVATION' and not ok").select("path").join(ok.where("kind = 'TARGET' and ok").select("path"), "path")
 
 
-@query(f"""WITH {OUT}, s AS (SELECT requirement, list(DISTINCT CASE WHEN kind = 'PRESERVATION' AND status = 'FAIL' AND weight > 45 THEN 'PRESERVATION_RISK'
-   WHEN status = 'FAIL' THEN 'FAILING' WHEN status = 'PASS' THEN 'PASSING' ELSE 'UNBOUND' END) AS st FROM outcome GROUP BY requirement)
-SELECT requirement, CASE WHEN list_contains(st, 'PRESERVATION_RISK') THEN 'PRESERVATION_RISK' WHEN list_contains(st, 'FAILING') THEN 'FAILING'
-   WHEN st = ['PASSING'] THEN 'PASSING' WHEN list_contains(st, 'UNBOUND') THEN 'UNBOUND' ELSE 'UNKNOWN' END AS status FROM s""")
+UNITS = View("units", "lineitem", requirement="l_orderkey", unit="l_partkey", status="CASE WHEN l_orderkey % 3 = 0 THEN 'PASSING' WHEN l_orderkey % 3 = 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'ORACLE_UNAVAILABLE' ELSE 'ENVIRONMENT_BLOCKED' END WHEN l_partkey % 19 = 0 THEN 'PRESERVATION_RISK' WHEN l_partkey % 17 = 0 THEN 'FAILING' WHEN l_partkey % 13 = 0 THEN 'COUNTEREXAMPLE_OPEN' WHEN l_partkey % 11 = 0 THEN 'UNBOUND' ELSE 'PASSING' END")
+MORE = View("more", "orders", requirement="o_orderkey", unit="0", status="CASE o_orderstatus WHEN 'F' THEN 'UNKNOWN' ELSE 'PASSING' END", has="o_orderkey % 4 = 1")
+_COVERED = cte(UNITS, MORE) + """, s AS (SELECT requirement, list(DISTINCT status) AS st FROM (SELECT requirement, status FROM units UNION ALL SELECT requirement, status FROM more WHERE has) GROUP BY requirement),
+covered AS (SELECT requirement, CASE WHEN list_contains(st, 'PRESERVATION_RISK') THEN 'PRESERVATION_RISK' WHEN list_has_any(st, ['FAILING', 'COUNTEREXAMPLE_OPEN']) THEN 'FAILING' WHEN st = ['PASSING'] THEN 'PASSING'
+  WHEN list_contains(st, 'UNBOUND') THEN 'UNBOUND' WHEN len(list_filter(st, lambda x: x NOT IN ('ORACLE_UNAVAILABLE', 'ENVIRONMENT_BLOCKED'))) = 0 THEN 'UNTESTABLE' ELSE 'UNKNOWN' END AS status FROM s)"""
+
+
+@query(_COVERED + " SELECT requirement, status FROM covered")
 def requirement_coverage(spark, sf_dir):
-    risk = (F.col("kind") == "PRESERVATION") & (F.col("status") == "FAIL") & (F.col("weight") > 45)
-    unit = F.when(risk, "PRESERVATION_RISK").when(F.col("status") == "FAIL", "FAILING").when(F.col("status") == "PASS", "PASSING").otherwise("UNBOUND")
-    return outcomes(spark, sf_dir).groupBy("requirement").agg(F.collect_set(unit).alias("st")).select("requirement", d.coverage_status(F.col("st")).alias("status"))
+    units = UNITS.frame(spark, sf_dir).unionByName(MORE.frame(spark, sf_dir).where("has").drop("has"))
+    return units.groupBy("requirement").agg(F.collect_set("status").alias("st")).select("requirement", d.coverage_status(F.col("st")).alias("status"))
+
+
+@query(_COVERED + " SELECT requirement, status FROM covered WHERE status <> 'PASSING'")
+def unresolved_requirements(spark, sf_dir):
+    return unresolved_rows(requirement_coverage(spark, sf_dir))
 
 
 @query(f"WITH {OUT} SELECT component, round(sum(CASE WHEN status = 'PASS' THEN weight ELSE 0 END) / sum(weight), 6) AS ratio FROM outcome GROUP BY component")
@@ -143,10 +138,15 @@ def component_effectiveness(spark, sf_dir):
     return outcomes(spark, sf_dir).groupBy("component").agg(n.alias("n"), ok.alias("passed"), F.round(ok / n, 6).alias("ratio"), (ok * 3 > n).alias("effective"))
 
 
-@query(f"WITH {OUT}, p AS (SELECT component, round(sum(weight + CASE status WHEN 'FAIL' THEN 3 ELSE 1 END), 4) AS pressure FROM outcome WHERE status <> 'PASS' GROUP BY component) SELECT component, pressure FROM p ORDER BY pressure DESC, component LIMIT 1")
+@query(f"""WITH {OUT}, u AS (SELECT o_orderkey AS unit, o_custkey AS component, CAST(1 + o_orderkey % 3 AS DOUBLE) AS weight, o_orderkey % 2 AS bypasses, o_orderkey % 5 AS frontiers FROM orders),
+w AS (SELECT unit, max(CASE status WHEN 'FAIL' THEN 4.0 WHEN 'UNKNOWN' THEN 2.5 ELSE 1.0 END) AS worst, bool_and(status = 'PASS') AS ok FROM outcome GROUP BY unit),
+p AS (SELECT component, round(sum(weight + coalesce(worst, 3) + 0.5 * bypasses + 0.75 * frontiers), 6) AS pressure, count(*) AS units FROM u LEFT JOIN w USING (unit) WHERE ok IS NULL OR NOT ok GROUP BY component)
+SELECT component, pressure, units FROM p ORDER BY pressure DESC, component DESC LIMIT 1""")
 def losing_core(spark, sf_dir):
-    add = F.col("weight") + F.when(F.col("status") == "FAIL", 3).otherwise(1)
-    return outcomes(spark, sf_dir).where("status <> 'PASS'").groupBy("component").agg(F.round(F.sum(add), 4).alias("pressure")).orderBy(F.desc("pressure"), "component").limit(1)
+    """The component under most pressure; of equal ones the greatest id."""
+    key = F.col("o_orderkey")
+    units = table(spark, sf_dir, "orders").select(key.alias("unit"), F.col("o_custkey").alias("component"), (1 + key % 3).cast("double").alias("weight"), (key % 2).alias("bypasses"), (key % 5).alias("frontiers"))
+    return d.losing_components(units, outcomes(spark, sf_dir)).orderBy(F.desc("pressure"), F.desc("component")).limit(1)
 
 
 @query(f"WITH {OUT} SELECT kind, status, count(*) AS n, sum(weight) AS weight FROM outcome GROUP BY kind, status")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from .projections import ordered, table, trace
 
 QUERIES, ORACLES = {}, {}
@@ -78,11 +77,6 @@ def artifact_integrity(spark, sf_dir):
     return e.select(F.col("event_id").alias("artifact"), (F.col("event_id") + 7).alias("parent")).join(stored, "parent", "left_anti").select("artifact", "parent")
 
 
-@query("SELECT p_partkey AS part, 'part-' || substr(sha256('[\"' || p_name || '\"]'), 1, 24) AS id, sha256(p_name) AS digest FROM part")
-def stable_id_hash(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), tx.stable_id("part", F.col("p_name")).alias("id"), F.sha2("p_name", 256).alias("digest"))
-
-
 @query("""SELECT coalesce(b.k, a.k) AS path, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM
  (SELECT o_orderkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 5 <> 0) b FULL JOIN
  (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS v FROM orders WHERE o_orderkey % 3 <> 0) a ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
@@ -122,28 +116,6 @@ def file_line_counts(spark, sf_dir):
     return lines.groupBy("path").agg(F.count("*").alias("lines"), F.count_if(F.length("content") == 0).alias("blank"))
 
 
-_SEGMENTS = ["The value must be a list.", "Is this right?", "Seen in version 3.", "It fails here", "You should not call it.", "shall we", "x != y is required"]
-_KINDS = ["normative", "hypothesis", "version", "observation", "normative", "normative", "normative"]
-_AUTHORITY = {"normative": "A", "hypothesis": "PROVISIONAL", "version": "C", "observation": "D"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{_AUTHORITY[k]}')" for i, k in enumerate(_KINDS)) + ") v(id, kind, authority)")
-def segment_classify(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_SEGMENTS)), "id int, segment string")
-    return rows.select("id", tx.evidence_kind(F.col("segment")).alias("kind"), tx.evidence_authority(F.col("segment")).alias("authority"))
-
-
-_FORMULAS = ["a must return 1", "a must not return 1", "b is empty", "B is  not empty", "c == d", "c != d"]
-
-
-@query("SELECT * FROM (VALUES (2, 3)) v(claim, refutes)")
-def polarity_conflicts(spark, sf_dir):
-    """Claims of one base and different sign: a join on the base, not of all pairs."""
-    rows = spark.createDataFrame(list(enumerate(_FORMULAS)), "id int, formula string").select("id", tx.polarity_base(F.col("formula")).alias("base"), tx.is_negative(F.col("formula")).alias("neg"))
-    yes, no = rows.where("not neg").select(F.col("id").alias("claim"), "base"), rows.where("neg").select(F.col("id").alias("refutes"), "base")
-    return yes.join(no, "base").select("claim", "refutes")
-
-
 @query("""WITH spans AS (SELECT c_custkey AS file, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 points AS (SELECT o_custkey AS file, o_orderkey AS point, o_orderdate AS day FROM orders) SELECT file, point, CAST(epoch(hi) - epoch(lo) AS BIGINT) AS span FROM points JOIN spans USING (file) WHERE day BETWEEN lo AND hi AND day > lo""")
 def range_join_spans(spark, sf_dir):
@@ -202,12 +174,6 @@ def resolve_symbol(spark, sf_dir):
     return exact.unionByName(by_tail.select("asked", "symbol"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a.b', 'call a.b(x) now', 'x-y_z-1'), (1, 'pkg.mod', 'f', 'ok')) v(id, module, formula, prefix)")
-def text_normalisation(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "a/b.py", " call `a.b(x)`\n now ", "x y_z:1"), (1, "pkg/mod/__init__.py", "*f*", "ok")], "id int, path string, formula string, prefix string")
-    return rows.select("id", tx.module_name(F.col("path")).alias("module"), tx.normalize_formula(F.col("formula")).alias("formula"), tx.clean_prefix(F.col("prefix")).alias("prefix"))
-
-
 @query("SELECT user_id AS bundle, count(DISTINCT event_type) = 1 AS stable, count(*) AS runs FROM events GROUP BY user_id")
 def bundle_stability(spark, sf_dir):
     """Stable if all runs have one signature."""
