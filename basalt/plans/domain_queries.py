@@ -1,4 +1,4 @@
-"""Queries over literal constraint fixtures."""
+"""Queries over literal fixtures of the value tables."""
 
 from __future__ import annotations
 
