@@ -20,9 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, for Spark's own default of 10,000: texts are long, and a batch of them stands in the JVM and
+#: in Python at once.
+BATCH_ROWS, BATCH_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package once per application, so Python stages can import it anywhere."""
+    """Give executors this package once per application, so Python stages can import it anywhere; keep batches small
+    unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

@@ -33,6 +33,8 @@ from .tokens import free_name
 FOLDS = 5
 #: Rows that the logistic model is fitted on at most; labels to broadcast (more are joined by a shuffle).
 SAMPLE, SMALL_LABELS = 20_000, 1_000_000
+#: Words that a worker remembers; words that it counts before it hands them on.
+MEMO, COUNTED = 100_000, 200_000
 LEAST_LOG_RATIO, WINDOW, CROWDED = 2.0, 8, 3
 #: Fixed values.
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‚‘’…-–—*_~`|/\\#%&+="
@@ -52,17 +54,19 @@ def bare(chunk: str) -> str:
 
 
 class Trie:
-    """Terms by their letters; a node is (children, term or None)."""
+    """Terms by their letters. A node is [children, term or None, edits, least, most]: the most edits that a term below it
+    allows, and the least and greatest length of such terms."""
 
     def __init__(self, terms: list[str]):
-        self.root: tuple[dict, list] = ({}, [None])
+        self.root: list = [{}, None, 0, 1 << 30, 0]
         self.terms = set(terms)
         for term in terms:
             node = self.root
+            self._mark(node, term)
             for c in term:
-                node = node[0].setdefault(c, ({}, [None]))
-            node[1][0] = term
-        self.edits = max((allowed_edits(t) for t in terms), default=0)
+                node = node[0].setdefault(c, [{}, None, 0, 1 << 30, 0])
+                self._mark(node, term)
+            node[1] = term
         # a term within k edits of a word has one of its k + 1 parts in the word unchanged, moved by k at most
         places: dict[int, dict[tuple[int, int], set[str]]] = {}
         for term in terms:
@@ -82,32 +86,49 @@ class Trie:
     def might(self, word: str) -> bool:
         return any(word[a:b] in parts for a, b, parts in self.places.get(len(word), ()))
 
+    @staticmethod
+    def _mark(node: list, term: str) -> None:
+        node[2], node[3], node[4] = max(node[2], allowed_edits(term)), min(node[3], len(term)), max(node[4], len(term))
+
     def nearest(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the closest accepted term: the automaton of `word` run down the trie."""
+        """(edits, term) of the closest accepted term: the automaton of `word` run down the trie.
+
+        The automaton's states are bits: bit i of the e-th number says that i letters of the word are read with e edits
+        at most. A branch ends where no state is alive, or no term below is of a length that could be accepted.
+        """
         if word in self.terms:
             return 0, word
         if not self.might(word):
             return None
         best: tuple[int, str] | None = None
-        k, n = self.edits, len(word)
-        todo = [(self.root, tuple((i, i) for i in range(min(k, n) + 1)))]  # states: (letters read, edits)
+        n = len(word)
+        end, every = 1 << n, (2 << n) - 1
+        at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << i
+        where = at.get
+        todo = [(self.root, 1, 3 & every, 7 & every)]
         while todo:
-            (children, (term,)), states = todo.pop()
-            if term is not None:
-                e = min((e + n - i for i, e in states), default=k + 1)
-                if e <= allowed_edits(term) and (best is None or (e, term) < best):
-                    best = e, term
-            for c, child in children.items():
-                nxt: dict[int, int] = {}
-                for i, e in states:
-                    for j, cost in ((i + 1, e + (word[i : i + 1] != c)), (i, e + 1)) if i < n else ((i, e + 1),):
-                        if cost <= k and cost < nxt.get(j, k + 1):
-                            nxt[j] = cost
-                for i in range(n):  # letters of the word that the term lacks
-                    if i in nxt and nxt[i] + 1 <= k and nxt[i] + 1 < nxt.get(i + 1, k + 1):
-                        nxt[i + 1] = nxt[i] + 1
-                if nxt:
-                    todo.append((child, tuple(nxt.items())))
+            node, r0, r1, r2 = todo.pop()
+            for c, child in node[0].items():
+                edits = child[2]
+                if n > child[4] + edits or n < child[3] - edits:
+                    continue
+                m = where(c, 0)
+                q0 = (r0 & m) << 1
+                q1 = q2 = 0
+                if edits:
+                    q1 = ((r1 & m) << 1 | r0 | r0 << 1 | q0 << 1 | q0) & every
+                    if edits > 1:
+                        q2 = ((r2 & m) << 1 | r1 | r1 << 1 | q1 << 1 | q1) & every
+                if not (q0 | q1 | q2):
+                    continue
+                term = child[1]
+                if term is not None:
+                    e = 0 if q0 & end else 1 if q1 & end else 2 if q2 & end else 3
+                    if e <= allowed_edits(term) and (best is None or (e, term) < best):
+                        best = e, term
+                todo.append((child, q0, q1, q2))
         return best
 
 
@@ -117,11 +138,11 @@ class Scorer:
     def __init__(self, terms: list[str], loose: list[str], clean: frozenset[str]):
         """loose: the terms whose misspellings count."""
         self.terms, self.trie, self.clean = set(terms), Trie(loose), clean
-        self.memo = Memo(self._kind, 300_000)
+        self.words = Memo(self._kind, 2 * MEMO)
+        self.memo = Memo(lambda chunk: self.words[bare(chunk)], MEMO)
 
-    def _kind(self, chunk: str) -> int:
+    def _kind(self, word: str) -> int:
         """0: no hit, 1: a term, 2: a misspelling."""
-        word = bare(chunk)
         if word in self.terms:
             return 1
         if len(word) < 4 or word in self.clean:
@@ -198,7 +219,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word, t, c, a: toxic and clean documents that hold it, and clean ones of the first half; '' counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strip = Memo(bare, 300_000).__getitem__
+        strip = bare
         sums = {"t": Counter(), "c": Counter(), "a": Counter()}
 
         def out() -> pa.RecordBatch:
@@ -215,7 +236,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 sums["t" if toxic else "c"].update(words)
                 if not toxic and half == 0:
                     sums["a"].update(words)
-                if sum(map(len, sums.values())) > 500_000:
+                if sum(map(len, sums.values())) > COUNTED:
                     yield out()
         yield out()
 
@@ -231,7 +252,7 @@ def contexts(rows: DataFrame, words: list[str]) -> DataFrame:
     wanted = frozenset(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strip = Memo(bare, 300_000).__getitem__
+        strip = bare
         for batch in batches:
             found = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
