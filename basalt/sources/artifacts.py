@@ -1,15 +1,21 @@
 """A content-addressed, append-only artifact table, as Parquet partitioned by type; indexes are queries.
 
-An envelope: artifact_id, artifact_type, schema_version, instance_id, parent_ids, content_hash, producer, created_at,
+Beside the table stands its journal: what each batch added, in order. An envelope: artifact_id, artifact_type, schema_version, instance_id, parent_ids, content_hash, producer, created_at,
 authority, confidence, status, payload (canonical JSON text). Adding the same id with the same content changes
 nothing; with other content, or with a parent that isn't stored, the whole batch is refused.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.canonical import canonical_json, quoted, stable_id
 
+JOURNAL = "artifact_id string, artifact_type string, instance_id string, content_hash string, created_at string, batch long"
 SCHEMA_VERSION = "1.0.0"
 SCHEMA = "artifact_id string, schema_version string, instance_id string, parent_ids array<string>, content_hash string, producer string, created_at string, authority string, confidence string, status string, payload string, artifact_type string"
 
@@ -20,15 +26,13 @@ class ArtifactError(ValueError):
 
 def envelopes(rows: DataFrame) -> DataFrame:
     """rows: artifact_type, instance_id, producer, payload, and optionally parent_ids, authority, confidence, status,
-    created_at. Adds hashes and ids (ASCII fields)."""
+    created_at. Adds hashes and ids; the payload is canonical JSON."""
     default = {"parent_ids": F.array().cast("array<string>"), "authority": F.lit("PROVISIONAL"), "confidence": F.lit("UNKNOWN"), "status": F.lit("ACTIVE"), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")}
     for name, value in default.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
     rows = rows.withColumn("content_hash", F.sha2("payload", 256)).withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
-    parents = F.concat(F.lit("["), F.array_join(F.transform("parent_ids", lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ","), F.lit("]"))
-    identity = F.concat(F.lit("["), F.concat_ws(",", quoted("instance_id"), quoted("content_hash"), parents, quoted("producer"), quoted("status")), F.lit("]"))
-    return rows.withColumn("artifact_id", F.concat(F.regexp_replace("artifact_type", "[^A-Za-z0-9_-]", "-"), F.lit("-"), F.substring(F.sha2(identity, 256), 1, 24)))
+    own = stable_id(F.col("artifact_type"), quoted(F.col("instance_id")), quoted(F.col("content_hash")), canonical_json(F.col("parent_ids"), T.ArrayType(T.StringType())), quoted(F.col("producer")), quoted(F.col("status")))
+    return rows.withColumn("artifact_id", own)
 
 
 def schema_errors(rows: DataFrame, required: dict[str, list[str]]) -> DataFrame:
@@ -43,14 +47,27 @@ def schema_errors(rows: DataFrame, required: dict[str, list[str]]) -> DataFrame:
 class ArtifactTable:
     def __init__(self, spark: SparkSession, path: str, required: dict[str, list[str]]):
         self.spark, self.path, self.required = spark, path, required
+        self.journal_path = f"{path.rstrip('/')}_journal"
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def create(self) -> "ArtifactTable":
         self.spark.createDataFrame([], SCHEMA).write.mode("ignore").partitionBy("artifact_type").parquet(self.path)
+        self.spark.createDataFrame([], JOURNAL).write.mode("ignore").parquet(self.journal_path)
         return self
 
+    def journal(self) -> DataFrame:
+        return self.spark.read.schema(JOURNAL).parquet(self.journal_path)
+
+    def read_envelopes(self) -> DataFrame:
+        """The stored envelopes with `place`, in the journal's order."""
+        from pyspark.sql import Window
+
+        order = Window.partitionBy("instance_id").orderBy("batch", "created_at", "artifact_id")
+        rows = self.rows().join(self.journal().select("artifact_id", "batch"), "artifact_id")
+        return rows.withColumn("place", F.row_number().over(order)).drop("batch")
+
     def put(self, rows: DataFrame) -> int:
         """Adds a batch; returns how many were new."""
         new = envelopes(rows).select([c.split()[0] for c in SCHEMA.split(", ")]).dropDuplicates(["artifact_id"])
@@ -64,8 +81,12 @@ class ArtifactTable:
         if (bad := _dangling(new, stored).first()) is not None:
             raise ArtifactError(f"unknown parent artifact: {bad['parent']}")
         fresh = new.join(old.select("artifact_id"), "artifact_id", "left_anti")
+        ids = fresh.select("artifact_id", "artifact_type", "instance_id", "content_hash", "created_at")
+        batch = (self.journal().agg(F.max("batch")).first()[0] or 0) + 1
         n = fresh.count()
         if n:
+            # the journal is written first: a batch that broke off shows as entries without envelopes, and can be put again
+            ids.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(self.journal_path)
             fresh.write.mode("append").partitionBy("artifact_type").parquet(self.path)
         return n
 
@@ -86,12 +107,47 @@ class ArtifactTable:
         return self.rows().groupBy("instance_id", "artifact_type").agg(best.alias("x")).select("instance_id", "artifact_type", "x.*")
 
     def verify(self) -> DataFrame:
-        """(artifact_id, error): everything wrong with what is stored."""
+        """(artifact_id, error): everything wrong with what is stored: hashes, ids, journal, schemas, parents, repeats."""
         rows = self.rows()
-        hashes = rows.where(F.sha2("payload", 256) != F.col("content_hash")).select("artifact_id", F.lit("hash mismatch").alias("error"))
-        twice = rows.groupBy("artifact_id").count().where("count > 1").select("artifact_id", F.lit("stored twice").alias("error"))
+        said = lambda df, text: df.select("artifact_id", F.lit(text).alias("error"))
+        hashes = said(rows.where(F.sha2("payload", 256) != F.col("content_hash")), "hash mismatch")
+        made = envelopes(rows.withColumnRenamed("artifact_id", "__was"))
+        ids = made.where("artifact_id <> __was").select(F.col("__was").alias("artifact_id"), F.lit("id mismatch").alias("error"))
+        journal = self.journal()
+        listed = journal.select("artifact_id", F.col("content_hash").alias("digest"))
+        unlisted = said(rows.join(listed, "artifact_id", "left_anti"), "not in the journal")
+        absent = said(listed.join(rows, "artifact_id", "left_anti").distinct(), "journal entry without envelope")
+        other = said(rows.join(listed, "artifact_id").where("content_hash <> digest"), "journal hash mismatch")
+        twice = said(rows.groupBy("artifact_id").count().where("count > 1"), "stored twice")
         loose = _dangling(rows, rows.select("artifact_id")).select("artifact_id", F.concat(F.lit("dangling parent "), "parent").alias("error"))
-        return hashes.union(twice).union(loose).union(schema_errors(rows, self.required))
+        out = schema_errors(rows, self.required)
+        for part in (hashes, ids, unlisted, absent, other, twice, loose):
+            out = out.union(part)
+        return out
+
+    def recover(self) -> dict[str, int]:
+        """Writes the journal anew from the stored envelopes; refused if one is corrupt or has a dangling parent."""
+        rows = self.rows()
+        corrupt = rows.where(F.sha2("payload", 256) != F.col("content_hash")).count()
+        dangling = _dangling(rows, rows.select("artifact_id")).count()
+        if corrupt or dangling:
+            raise ArtifactError(f"recovery found corrupt={corrupt}, dangling_parents={dangling}")
+        order = rows.select("artifact_id", "artifact_type", "instance_id", "content_hash", "created_at").withColumn("batch", F.lit(1).cast("long"))
+        order.write.mode("overwrite").parquet(self.journal_path)
+        return {"artifacts": rows.count()}
+
+    def sequential_digest(self, exclude: list[str] | None = None) -> str:
+        """Hash of the canonical JSON of all records in the order of their ids, as certificates carry it. One pass over
+        sorted rows, a partition at a time; `digest` is the one for large tables."""
+        rows = self.rows().where(~F.col("artifact_type").isin(exclude)) if exclude else self.rows()
+        kind = T.StructType([T.StructField(c, T.StringType()) for c in ("artifact_id", "artifact_type", "instance_id", "content_hash")])
+        text = canonical_json(F.struct(*kind.names), kind)
+        out, first = hashlib.sha256(b"["), True
+        for row in rows.select("artifact_id", text.alias("json")).orderBy("artifact_id").toLocalIterator():
+            out.update((row["json"] if first else "," + row["json"]).encode())
+            first = False
+        out.update(b"]")
+        return out.hexdigest()
 
     def digest(self, exclude: list[str] | None = None) -> str:
         """One digest of all rows but some types, whatever their order: a sum of row hashes, so nothing is gathered."""

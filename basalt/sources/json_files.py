@@ -22,3 +22,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+RUN_MANIFEST = "run_id string, instance_id string, schema_version string, config map<string,string>, started_at string"
+
+
+def load_run_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return read_object(spark, path, RUN_MANIFEST)
+
+
+def write_object(row: DataFrame, path: str) -> None:
+    """A one-row table as one JSON file in the folder `path`; more rows are refused."""
+    if len(row.take(2)) != 1:
+        raise ValueError("one row makes one object")
+    row.coalesce(1).write.mode("overwrite").json(path)
