@@ -24,7 +24,7 @@ def quoted(text: Column) -> Column:
         for k, v in ESCAPES.items():
             out = out.when(unit == f"{k:04X}", v)
         plain = F.decode(F.unhex(F.substring(unit, 3, 2)), "US-ASCII")
-        return out.when((unit >= "0020") & (unit < "0080"), plain).otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
+        return out.when((unit >= "0020") & (unit < "007F"), plain).otherwise(F.concat(F.lit("\\u"), F.lower(unit)))
 
     each = F.array_join(F.transform(units, escape), "")
     body = F.when(text.rlike('^[ !#-\\[\\]-\\x7e]*\\z'), text).otherwise(each)

@@ -104,7 +104,7 @@ def extract_subject(spark, sf_dir):
 
 
 #: JSON strings of non-ASCII text, as UTF-16 units.
-_QUOTED = lambda c: f"""'"' || array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN x = '"' THEN '\\"' WHEN x = '\\' THEN '\\\\' WHEN x = chr(10) THEN '\\n' WHEN x = chr(13) THEN '\\r' WHEN x = chr(9) THEN '\\t' WHEN unicode(x) < 32 THEN printf('\\u%04x', unicode(x)) WHEN unicode(x) < 128 THEN x
+_QUOTED = lambda c: f"""'"' || array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN x = '"' THEN '\\"' WHEN x = '\\' THEN '\\\\' WHEN x = chr(10) THEN '\\n' WHEN x = chr(13) THEN '\\r' WHEN x = chr(9) THEN '\\t' WHEN unicode(x) < 32 THEN printf('\\u%04x', unicode(x)) WHEN unicode(x) < 127 THEN x
   WHEN unicode(x) < 65536 THEN printf('\\u%04x', unicode(x)) ELSE printf('\\u%04x\\u%04x', 55296 + (unicode(x) - 65536) // 1024, 56320 + (unicode(x) - 65536) % 1024) END), '') || '"'"""
 
 
