@@ -18,7 +18,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, reproducible
 from .tokens import free_name
 
 SLOTS = 1 << 16
@@ -105,7 +105,8 @@ def assign(df: DataFrame, n_shards: int, key: str = "doc_id", vnodes: int = 64,
     hashed = rows.withColumn("__slot", F.pmod(F.xxhash64(col[key]), F.lit(SLOTS)).cast("int")).withColumn("__h", F.xxhash64(*[col[c] for c in order or (key,)])).withColumn("__read", F.spark_partition_id())
     # SLOTS rows whatever the input
     placed = hashed.join(F.broadcast(arcs), "__slot").drop("__slot").withColumn("__salt", F.pmod(F.col("__h"), F.lit(SALTS)).cast("int"))
-    placed = (stash or Stash(spark, "ring")).put(placed, "placed")
+    if not reproducible(df):  # what is counted must be what is placed
+        placed = (stash or Stash(spark, "ring")).put(placed, "placed")
     alike = placed.groupBy("__arc", "__salt", "__h", "__read").agg(F.count("*").alias("__n"))
     groups = alike.groupBy("__arc", "__salt").agg(F.sum("__n").alias("__n"))
     # a row per arc at most
