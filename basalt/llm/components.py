@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +43,3 @@ def components(edges: DataFrame, stash: Stash, a: str = "a", b: str = "b") -> Da
         left = put(met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), n, "edges")
         n = left.count()
     return labels
-
-
-class Sets:
-    """Union-find over 0..n-1 inside one task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-    def roots(self) -> np.ndarray:
-        return np.fromiter((self.find(i) for i in range(len(self.up))), np.int64, len(self.up))

@@ -27,7 +27,7 @@ from .blobs import bitmap, deal, in_pairs, inside, unique_pairs
 from .common import Stash, numbered, width
 from .components import components
 from .minhash import band_keys, signatures, windows
-from .ngram_join import LEAST_SKETCH, SLICE_CHARS, exact_links, in_blocks
+from .ngram_join import LEAST_SKETCH, SLICE_CHARS, alike, exact_links, in_blocks
 from .ngram_join import _nibbles as nibbles
 from .ngram_join import _share as share
 from .tokens import free_name, slices
@@ -112,24 +112,6 @@ def lines_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.mapInArrow(fetch, "h long, cls binary, line string").groupBy("h", "cls").agg(F.first("line").alias("line"))
 
 
-def alike(sketch: np.ndarray) -> np.ndarray:
-    """Per row: the first row that it is joined with, directly or not. Each row meets all those not yet joined."""
-    root = np.arange(len(sketch))
-    left, rest = root[1:], sketch[1:]
-    first, todo = 0, [0]
-    while len(left):
-        if not todo:
-            first, left, rest = int(left[0]), left[1:], rest[1:]
-            todo = [first]
-            continue
-        near = share(sketch[todo.pop()], rest) >= LEAST_SKETCH
-        if near.any():
-            root[left[near]] = first
-            todo += left[near].tolist()
-            left, rest = left[~near], rest[~near]
-    return root
-
-
 def loose_links(lines: DataFrame, parts: int) -> DataFrame:
     """lines: (h, line). (a, b): ids that a band joins: a spanning forest of its pairs that the sketch doesn't rule out."""
 

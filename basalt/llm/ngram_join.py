@@ -3,8 +3,8 @@
 Forest: TREES trees; a document's label in a tree is DEPTH MinHash values of its word shingles. Labels are sorted, so
 a tree is a trie of prefixes. Matching starts with whole labels and shortens the prefix until the chance that a pair
 of the least similarity shares one in some tree reaches TARGET; `matched_depth` works that depth out. In each prefix
-group, members go from the longest shared prefix to the shortest: neighbours in sorted order first, then leaders of
-what is not yet joined; a pair counts if a sketch of SKETCH four-bit values (carried along) doesn't rule it out.
+group, members are taken in sorted order, so that the longest shared prefixes meet first, and each meets all that are
+not joined with it yet; a pair counts if a sketch of SKETCH four-bit values (carried along) doesn't rule it out.
 That gives loose groups, by union-find. Inside a loose group every pair is then compared exactly, in blocks of bounded
 size, so neither pairs nor groups are ever laid out as rows: a block gives each member its number of links.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .blobs import bitmap, deal, in_pairs, inside, unique_pairs
 from .bpe import Memo
 from .common import Stash, width
-from .components import Sets, components
+from .components import components
 from .minhash import band_keys, signatures, windows
 from .tokens import slices
 
@@ -93,6 +93,24 @@ def _share(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)) / SKETCH
 
 
+def alike(sketch: np.ndarray) -> np.ndarray:
+    """Per row: the first row that it is joined with, directly or not. Each row meets all those not yet joined."""
+    root = np.arange(len(sketch))
+    left, rest = root[1:], sketch[1:]
+    first, todo = 0, [0]
+    while len(left):
+        if not todo:
+            first, left, rest = int(left[0]), left[1:], rest[1:]
+            todo = [first]
+            continue
+        near = _share(sketch[todo.pop()], rest) >= LEAST_SKETCH
+        if near.any():
+            root[left[near]] = first
+            todo += left[near].tolist()
+            left, rest = left[~near], rest[~near]
+    return root
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, parts: int, words: int, depth: int) -> DataFrame:
     """Rows of two kinds: (id, cls, h, th) for each document (its class, that one's short id, its text's hash), and
     (part, blob) of forest entries."""
@@ -146,22 +164,10 @@ def loose_links(blobs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
         pairs = []
         for lo, hi in zip(first.tolist(), np.append(first[1:], len(e)).tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            s, ids = sketch[lo:hi], e["id"][lo:hi]
-            x = s[1:] ^ s[:-1]
-            near = (((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)) >= LEAST_SKETCH * SKETCH
-            union = Sets(hi - lo)
-            for i in np.flatnonzero(near).tolist():
-                union.join(i, i + 1)
-            leaders = np.flatnonzero(np.concatenate([[True], ~near]))  # of the runs that neighbours have joined
-            for k in range(len(leaders) - 1):
-                later = leaders[k + 1 :]
-                for j in later[_share(s[leaders[k]], s[later]) >= LEAST_SKETCH].tolist():
-                    union.join(int(leaders[k]), j)
-            roots = union.roots()
+            roots = alike(sketch[lo:hi])
             hit = np.flatnonzero(roots != np.arange(hi - lo))
             if len(hit):
+                ids = e["id"][lo:hi]
                 pairs.append(np.stack([ids[roots[hit]], ids[hit]]))
         both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
         a, b = unique_pairs(both[0], both[1])

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import Stash, width
 from .tokens import fast_ids, slices
 
+#: Free tokens with which a bin is nearly full and leaves: fewer than the least common document has.
+SLACK = 8
 BIN = "size int, items array<struct<row:bigint,length:int>>"
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
@@ -102,7 +104,7 @@ def _merge(capacity: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int, slack: int = 0, task_bins: int = 200_000, fan_in: int = 8, least_gain: float = 0.002, stash: Stash | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int, slack: int = SLACK, task_bins: int = 200_000, fan_in: int = 8, least_gain: float = 0.002, stash: Stash | None = None) -> DataFrame:
     """items: columns row (unique) and length in 1..capacity. Returns row, sequence_id, offset.
 
     Ties are broken freely; an empty table gives an empty one.
