@@ -241,3 +241,83 @@ def assignment_scores(choices: DataFrame, claims: DataFrame, evidence: DataFrame
     base = choices.join(claims, "claim", "left").groupBy("assignment").agg(F.sum(worth).alias("base"))
     own = choices.join(evidence, "claim").groupBy("assignment").agg(F.countDistinct("cluster").alias("clusters"))
     return base.join(own, "assignment", "left").select("assignment", (F.col("base") + F.coalesce("clusters", F.lit(0)) * 0.25).alias("score"))
+
+
+def unit_statuses(units: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """unit, statuses (sorted, each once; empty for a unit without outcomes), also for outcomes of unknown units."""
+    seen = outcomes.groupBy("unit").agg(F.array_sort(F.collect_set("status")).alias("statuses"))
+    rows = units.select("unit").distinct().join(seen, "unit", "full")
+    return rows.select("unit", F.coalesce("statuses", F.array().cast("array<string>")).alias("statuses"))
+
+
+def protocol_projection(unit_symbols: DataFrame, operations: DataFrame, candidates: DataFrame, most: int = 40) -> DataFrame:
+    """unit, operation, place: operations at one of a unit's symbols, or that may call one; the first `most` by name (the
+    rule's own limit). unit_symbols: unit, node; operations: operation, source; candidates: operation, target."""
+    at = operations.select("operation", F.col("source").alias("node")).unionByName(candidates.select("operation", F.col("target").alias("node")))
+    hit = unit_symbols.join(at, "node").select("unit", "operation").distinct()
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("operation"))
+    return hit.withColumn("place", place).where(F.col("place") <= most)
+
+
+def check_projection(requirements: DataFrame, checks: DataFrame) -> DataFrame:
+    """requirement, check_id, role: checks that bind a requirement, by name, by shared evidence, by their oracle, or by an
+    executed symbol that one of the requirement's overlaps.
+
+    requirements: requirement, evidence array, symbols array; checks: check_id, role, requirements array, evidence array,
+    oracle, symbols array. Each way is an equi-join: symbols overlap if one is a dotted tail of the other, or if both are
+    dotted and end alike, so tails and last parts are joined.
+    """
+    by_name = checks.select("check_id", F.explode("requirements").alias("requirement"))
+    by_oracle = checks.select("check_id", F.col("oracle").alias("requirement"))
+    named = by_name.unionByName(by_oracle).join(requirements.select("requirement"), "requirement", "left_semi").select("requirement", "check_id")
+    shared = requirements.select("requirement", F.explode("evidence").alias("e")).join(checks.select("check_id", F.explode("evidence").alias("e")), "e").select("requirement", "check_id")
+    parts = lambda c: F.split(c, "\\.")
+    tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "."))
+    own = requirements.select("requirement", F.explode("symbols").alias("s")).where("s <> ''")
+    ran = checks.select("check_id", F.explode("symbols").alias("x")).where("x <> ''")
+    one = own.select("requirement", F.explode(tails("s")).alias("x")).join(ran, "x").select("requirement", "check_id")
+    two = ran.select("check_id", F.explode(tails("x")).alias("s")).join(own, "s").select("requirement", "check_id")
+    last = lambda df, c: df.where(F.contains(c, F.lit("."))).withColumn("tail", F.substring_index(c, ".", -1)).drop(c).distinct()
+    alias = last(own, "s").join(last(ran, "x"), "tail").select("requirement", "check_id")
+    pairs = named.unionByName(shared).unionByName(one).unionByName(two).unionByName(alias).distinct()
+    role = F.when(F.col("role").isin("TARGET", "PRESERVATION"), F.col("role")).otherwise("CHALLENGE")
+    return pairs.join(checks.select("check_id", "role"), "check_id").select("requirement", "check_id", role.alias("role"))
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with the new ones, collisions: node): a node whose id stands for another is refused; the same again changes
+    nothing."""
+    columns = [c for c in nodes.columns if c != "node"]
+    was = nodes.select("node", F.struct(*columns).alias("was"))
+    first = new.groupBy("node").agg(F.min(F.struct(*columns)).alias("now"), F.max(F.struct(*columns)).alias("last"))
+    rows = first.join(was, "node", "left").withColumn("clash", (F.col("now") != F.col("last")) | ~F.coalesce("was", "now").eqNullSafe(F.col("now")))
+    fresh = rows.where("not clash and was is null").select("node", "now.*")
+    return nodes.unionByName(fresh), rows.where("clash").select("node")
+
+
+def registered_relations(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """Edges of a registered kind, or of one that starts with `custom:`."""
+    return edges.where(F.col("kind").isin(kinds) | F.startswith("kind", F.lit("custom:")))
+
+
+def target_sets(edges: DataFrame) -> DataFrame:
+    """targets (sorted, each once), n: each exact set of targets once, with the number of edges that share it."""
+    return edges.groupBy(F.array_sort(F.array_distinct("targets")).alias("targets")).agg(F.count("*").alias("n"))
+
+
+def run_report(runs: DataFrame, outcomes: DataFrame, frontiers: DataFrame, transitions: DataFrame) -> DataFrame:
+    """A row per run: passes, fails, unknowns, open hard frontiers, commits and rollbacks. runs: run; outcomes: run,
+    status; frontiers: run, hard, status; transitions: run, decision."""
+    s, d = F.col("status"), F.col("decision")
+    o = outcomes.groupBy("run").agg(F.count_if(s == "PASS").alias("passed"), F.count_if(s == "FAIL").alias("failed"), F.count_if(~s.isin("PASS", "FAIL")).alias("unknown"))
+    f = frontiers.groupBy("run").agg(F.count_if(yes(F.col("hard")) & (s == "OPEN")).alias("hard_open"), F.count_if(s == "OPEN").alias("open"))
+    t = transitions.groupBy("run").agg(F.count_if(d == "COMMIT").alias("commits"), F.count_if(d == "ROLLBACK").alias("rollbacks"))
+    rows = runs.select("run").join(o, "run", "left").join(f, "run", "left").join(t, "run", "left")
+    return rows.na.fill(0, [c for c in rows.columns if c != "run"])
+
+
+def obligation_keys(obligations: DataFrame) -> DataFrame:
+    """leaf, constraints, entry, guards, exit, observation, obligations: obligations that mean the same path, by what the
+    path does and not by its name."""
+    key = [F.col("leaf"), F.array_sort("constraints").alias("constraints"), F.col("entry"), F.col("guards"), F.col("exit"), F.col("observation")]
+    return obligations.groupBy(*key).agg(F.min("obligation").alias("first"), F.count("*").alias("n"))

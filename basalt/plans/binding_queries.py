@@ -204,3 +204,85 @@ def undominated_assignments(spark, sf_dir):
     own = choices.join(claims, "claim", "left").groupBy("assignment").agg(F.collect_set("cluster").alias("clusters"), F.count_if(F.col("authority").isin("A", "B", "C")).alias("explicit"))
     owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("assignment"), F.col("o_custkey").alias("owner"))
     return bd.undominated(scores.join(own, "assignment").join(owners, "assignment"), "owner").select("owner", "assignment", "place")
+
+
+OUTCOMES = View("outcomes", "lineitem", unit="l_orderkey", status=cases("l_partkey", "PASS", "FAIL", "UNKNOWN", "PASS"))
+
+
+@query(cte(UNITS, OUTCOMES) + ", s AS (SELECT unit, list_sort(list(DISTINCT status)) AS st FROM outcomes GROUP BY unit) SELECT unit, coalesce(array_to_string(st, ','), '') AS statuses FROM units FULL JOIN s USING (unit)")
+def unit_statuses(spark, sf_dir):
+    return bd.unit_statuses(UNITS.frame(spark, sf_dir), OUTCOMES.frame(spark, sf_dir)).withColumn("statuses", F.array_join("statuses", ","))
+
+
+OPERATIONS = View("operations", "supplier", operation="concat('op', CAST(s_suppkey AS STRING))", source="s_suppkey * 3")
+MAY_CALL = View("may_call", "supplier", operation="concat('op', CAST(s_suppkey AS STRING))", target="s_suppkey + s_nationkey")
+
+
+@query(cte(UNIT_NODES, OPERATIONS, MAY_CALL) + """, a AS (SELECT operation, source AS node FROM operations UNION ALL SELECT operation, target FROM may_call), h AS (SELECT DISTINCT unit, operation FROM unit_nodes JOIN a USING (node))
+SELECT unit, operation, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY operation) AS place FROM h) WHERE place <= 40""")
+def protocol_projection(spark, sf_dir):
+    return bd.protocol_projection(*[v.frame(spark, sf_dir) for v in (UNIT_NODES, OPERATIONS, MAY_CALL)])
+
+
+REQS = View("reqs", "supplier", requirement="concat('r', CAST(s_suppkey AS STRING))", evidence="concat('e', CAST(s_nationkey AS STRING))", symbol="concat('pkg.m', CAST(s_suppkey AS STRING), '.F', CAST(s_nationkey AS STRING))")
+CHECKS = View("checks", "part", check_id="p_partkey", role=cases("p_partkey", "TARGET", "PRESERVATION", "EXPLORATION"), named="concat('r', CAST(p_partkey % 23 AS STRING))", evidence="concat('e', CAST(p_size AS STRING))", oracle="concat('r', CAST(p_size % 31 AS STRING))", symbol="CASE p_partkey % 3 WHEN 0 THEN concat('m', CAST(p_partkey % 10 AS STRING), '.F', CAST(p_size % 25 AS STRING)) WHEN 1 THEN concat('F', CAST(p_size % 25 AS STRING)) ELSE '' END")
+
+
+@query(cte(REQS, CHECKS) + """, o AS (SELECT requirement, check_id, role, named = requirement OR c.evidence = r.evidence OR oracle = requirement OR (c.symbol <> '' AND (c.symbol = r.symbol OR ends_with(r.symbol, '.' || c.symbol) OR ends_with(c.symbol, '.' || r.symbol) OR (contains(c.symbol, '.') AND split_part(c.symbol, '.', 2) = split_part(r.symbol, '.', 3)))) AS binds FROM reqs r, checks c)
+SELECT requirement, check_id, CASE role WHEN 'EXPLORATION' THEN 'CHALLENGE' ELSE role END AS role FROM o WHERE binds""")
+def check_projection(spark, sf_dir):
+    one = lambda c: F.array(c)
+    reqs = REQS.frame(spark, sf_dir).select("requirement", one("evidence").alias("evidence"), one("symbol").alias("symbols"))
+    checks = CHECKS.frame(spark, sf_dir).select("check_id", "role", one("named").alias("requirements"), one("evidence").alias("evidence"), "oracle", one("symbol").alias("symbols"))
+    return bd.check_projection(reqs, checks)
+
+
+OLD_NODES = View("old_nodes", "part", node="p_partkey", kind="p_type", label="p_brand", has="p_size <> 7")
+NEW_NODES = View("new_nodes", "part", node="p_partkey", kind="p_type", label="CASE WHEN p_size = 9 THEN 'other' ELSE p_brand END")
+
+
+@query(cte(OLD_NODES, NEW_NODES) + " SELECT n.node FROM new_nodes n JOIN old_nodes o USING (node) WHERE has AND (n.kind, n.label) <> (o.kind, o.label)")
+def graph_node_collisions(spark, sf_dir):
+    return bd.add_nodes(OLD_NODES.frame(spark, sf_dir).where("has").drop("has"), NEW_NODES.frame(spark, sf_dir))[1]
+
+
+@query(cte(OLD_NODES, NEW_NODES) + " SELECT node, kind, label FROM old_nodes WHERE has UNION ALL SELECT node, kind, label FROM new_nodes ANTI JOIN (SELECT node FROM old_nodes WHERE has) USING (node)")
+def graph_add_nodes(spark, sf_dir):
+    return bd.add_nodes(OLD_NODES.frame(spark, sf_dir).where("has").drop("has"), NEW_NODES.frame(spark, sf_dir))[0]
+
+
+RELATED = View("related", "lineitem", edge_id="l_orderkey", kind=cases("l_linenumber", "calls", "custom:x", "unknown", "returns"))
+
+
+@query(cte(RELATED) + " SELECT kind, count(*) AS n FROM related WHERE kind <> 'unknown' GROUP BY kind")
+def registered_relations(spark, sf_dir):
+    return bd.registered_relations(RELATED.frame(spark, sf_dir), ["calls", "returns"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+TARGETED = View("targeted", "lineitem", edge_id="l_orderkey", target="l_suppkey % 4")
+
+
+@query(cte(TARGETED) + ", t AS (SELECT edge_id, list_sort(list(DISTINCT target)) AS targets FROM targeted GROUP BY edge_id) SELECT array_to_string(targets, ',') AS targets, count(*) AS n FROM t GROUP BY targets")
+def interned_targets(spark, sf_dir):
+    edges = TARGETED.frame(spark, sf_dir).groupBy("edge_id").agg(F.collect_list("target").alias("targets"))
+    return bd.target_sets(edges).withColumn("targets", F.array_join(F.col("targets").cast("array<string>"), ","))
+
+
+REPORT_RUNS = View("report_runs", "customer", run="c_custkey")
+REPORT_ROWS = View("report_rows", "orders", run="o_custkey", status=cases("o_orderkey", "PASS", "FAIL", "OPEN", "UNKNOWN"), hard="o_orderpriority = '1-URGENT'", decision=cases("o_orderkey", "COMMIT", "ROLLBACK", "KEEP_UNCERTIFIED"))
+
+
+@query(cte(REPORT_RUNS, REPORT_ROWS) + """ SELECT r.run, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status NOT IN ('PASS', 'FAIL')) AS unknown, count(*) FILTER (hard AND status = 'OPEN') AS hard_open, count(*) FILTER (status = 'OPEN') AS open,
+  count(*) FILTER (decision = 'COMMIT') AS commits, count(*) FILTER (decision = 'ROLLBACK') AS rollbacks FROM report_runs r LEFT JOIN report_rows x ON r.run = x.run GROUP BY r.run""")
+def run_report(spark, sf_dir):
+    rows = REPORT_ROWS.frame(spark, sf_dir)
+    return bd.run_report(REPORT_RUNS.frame(spark, sf_dir), rows, rows, rows)
+
+
+KEYED = View("keyed", "lineitem", obligation="l_partkey", leaf="l_suppkey", a="l_linenumber % 2", b="l_linenumber % 3", entry="l_returnflag", exit="l_linestatus")
+
+
+@query(cte(KEYED) + " SELECT leaf, least(a, b) || ',' || greatest(a, b) AS constraints, entry, 'g' AS guards, exit, min(obligation) AS first, count(*) AS n FROM keyed GROUP BY ALL")
+def obligation_keys(spark, sf_dir):
+    rows = KEYED.frame(spark, sf_dir).select("obligation", "leaf", F.array(F.col("a").cast("string"), F.col("b").cast("string")).alias("constraints"), "entry", F.lit("g").alias("guards"), "exit", F.lit("o").alias("observation"))
+    return bd.obligation_keys(rows).withColumn("constraints", F.array_join("constraints", ",")).drop("observation")
