@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Rounds
+from .store import Rounds, ranked
 
 #: Edges that one task finishes by itself; more go through distributed rounds first.
 TASK_EDGES = 2_000_000
@@ -292,8 +292,6 @@ def repair_cut(edges: DataFrame, nodes: DataFrame, entries: DataFrame, observati
     score is 10 for each unit it is in, less its distance to the nearest observation, a twentieth of its blast and 3 per
     conflict.
     """
-    from pyspark.sql import Window
-
     rounds = Rounds(edges.sparkSession, "cut")
     flow = rounds.put(edges.select("src", "dst").distinct())
     forward = reachable(flow, entries)
@@ -302,9 +300,8 @@ def repair_cut(edges: DataFrame, nodes: DataFrame, entries: DataFrame, observati
     covered = units.groupBy("node").agg(F.countDistinct("unit").alias("covered"))
     rows = between.join(covered, "node", "left").join(blast, "node", "left").na.fill(0, ["covered", "blast", "conflicts"])
     score = F.col("covered") * 10.0 - F.col("distance") - 0.05 * F.col("blast") - 3.0 * F.col("conflicts")
-    ranked = rows.withColumn("score", F.round(score, 6))
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "node"))
-    return ranked.select("node", F.col("covered").cast("long").alias("covered"), F.col("distance").cast("long").alias("distance"), "score", place.alias("rank"))
+    scored = rows.select("node", F.col("covered").cast("long").alias("covered"), F.col("distance").cast("long").alias("distance"), F.round(score, 6).alias("score"))
+    return ranked(scored, [F.desc("score"), F.asc("node")], "rank", rounds)
 
 
 def path_confidence(paths: DataFrame, by: list[str], confidence: str) -> DataFrame:
@@ -320,12 +317,10 @@ def set_cover(covers: DataFrame, costs: DataFrame | None = None, most: int | Non
     all such nodes are picked at once, and sorting the picks gives the greedy order. With `most`, one bounded row comes
     to the driver for each pick.
     """
-    from pyspark.sql import Window
-
     rounds = Rounds(covers.sparkSession, "cover")
     left = rounds.put(covers.select("node", "unit").where("node is not null and unit is not null").distinct())
 
-    def ranked(left: DataFrame) -> DataFrame:
+    def gains(left: DataFrame) -> DataFrame:
         gain = left.groupBy("node").agg(F.count("*").alias("gain"))
         gain = gain.join(costs, "node", "left") if costs is not None else gain.withColumn("cost", F.lit(1.0))
         return gain.select("node", "gain", (F.col("gain") / F.greatest(F.coalesce("cost", F.lit(1.0)), F.lit(1e-9))).alias("ratio"))
@@ -333,7 +328,7 @@ def set_cover(covers: DataFrame, costs: DataFrame | None = None, most: int | Non
     if most is not None:
         picks: list[tuple[int, str, int]] = []
         for k in range(1, most + 1):
-            best = ranked(left).orderBy(F.desc("ratio"), F.desc("gain"), "node").first()
+            best = gains(left).orderBy(F.desc("ratio"), F.desc("gain"), "node").first()
             if best is None:
                 break
             picks.append((k, best["node"], best["gain"]))
@@ -342,7 +337,7 @@ def set_cover(covers: DataFrame, costs: DataFrame | None = None, most: int | Non
         return covers.sparkSession.createDataFrame(picks, "round int, node string, gain long")
     done: DataFrame | None = None
     while done is None or left.limit(1).count():
-        rank = ranked(left).select("node", F.struct((-F.col("ratio")).alias("r"), (-F.col("gain")).alias("g"), F.col("node").alias("n")).alias("key"))
+        rank = gains(left).select("node", F.struct((-F.col("ratio")).alias("r"), (-F.col("gain")).alias("g"), F.col("node").alias("n")).alias("key"))
         edges = left.join(rank, "node")
         ahead = edges.groupBy("unit").agg(F.min("key").alias("first"))
         first = edges.join(ahead, "unit").groupBy("node", "key").agg(F.bool_and(F.col("key") == F.col("first")).alias("free"))
@@ -350,19 +345,26 @@ def set_cover(covers: DataFrame, costs: DataFrame | None = None, most: int | Non
         done = found if done is None else done.unionByName(found)
         hit = left.join(found.select("node"), "node", "left_semi").select("unit").distinct()
         left = rounds.put(left.join(hit, "unit", "left_anti").select("node", "unit"))
-    place = F.row_number().over(Window.orderBy("r", F.desc("gain"), "node"))
-    return done.select(place.alias("round"), "node", "gain")
+    return ranked(done, [F.asc("r"), F.desc("gain"), F.asc("node")], "round", rounds).select("round", "node", "gain")
 
 
-def skyline(rows: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Rows that no other beats: least `low`, most `high`, one of them strictly.
+def skyline(rows: DataFrame, key: str, low: str, high: str, ranges: int = 64) -> DataFrame:
+    """Rows that no other beats: least `low`, most `high`, one of them strictly. low: a number.
 
-    Sorted by (low, high descending), a row survives if its `high` beats the best of every row with a lesser `low`;
-    best per `low` first, so the ordered scan only sees one row for each distinct value.
+    A row survives if its `high` beats the best of every row with a lesser `low`; best per `low` first. Values of `low`
+    are cut into ranges: each range is scanned by itself, and starts from the best of all ranges before it.
     """
     from pyspark.sql import Window
 
-    best = rows.groupBy(low).agg(F.max(high).alias("__best"))
-    earlier = Window.orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
-    edge = best.withColumn("__before", F.max("__best").over(earlier)).where(F.col("__before").isNull() | (F.col("__best") > F.col("__before")))
+    best = rows.where(F.col(low).isNotNull() & F.col(high).isNotNull()).groupBy(low).agg(F.max(high).alias("__best"))
+    cuts = sorted(set(best.approxQuantile(low, [i / ranges for i in range(1, ranges)], 0.005)))
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(low))) if cuts else F.lit(0)
+    best = best.withColumn("__range", at)
+    tops = best.groupBy("__range").agg(F.max("__best").alias("__top"))
+    past = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    tops = tops.select("__range", F.max("__top").over(past).alias("__past"))
+    earlier = Window.partitionBy("__range").orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
+    scanned = best.withColumn("__here", F.max("__best").over(earlier)).join(F.broadcast(tops), "__range")
+    before = F.greatest("__here", "__past")
+    edge = scanned.where(before.isNull() | (F.col("__best") > before)).select(low, "__best")
     return rows.join(edge, low).where(F.col(high) == F.col("__best")).select(key, low, high)

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,12 +20,36 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before the interpreter
+        pass
+
+
 class Rounds:
+    """Tables of one run of an operator; they go when the interpreter ends, since results may still read them."""
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        atexit.register(_delete, spark, self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, rounds: Rounds) -> DataFrame:
+    """df with the place of each row (from 1) in the order of all rows, without one task that sees them all: ranges of the
+    order are numbered inside, and start where the counts of the ranges before them end."""
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    inside = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    numbered = inside.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    fixed = rounds.put(numbered)
+    counts = fixed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return fixed.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__at") + 1).cast("int")).drop("__part", "__at", "__start")
