@@ -87,9 +87,6 @@ class Stash:
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         return self.write(df, name)[0]
 
-    def drop(self, path: str) -> None:
-        delete(self.spark, path)
-
 
 def reproducible(df: DataFrame) -> bool:
     """Is df a plain scan of files, whose rows come in the same order whenever it is read?"""

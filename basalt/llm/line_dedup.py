@@ -33,7 +33,8 @@ from .ngram_join import _share as share
 from .tokens import free_name, slices
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 20, 6, 0.8
-ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
+#: Whether a line has company is asked by the low half of its short id: a bitmap takes no more of it.
+ENTRY = np.dtype([("key", "<u4"), ("id", "<u4")])
 SKETCHED = np.dtype([("key", "<u4"), ("id", "<i8"), ("sketch", "V32")])
 #: Entries that one task takes, about; entries with sketches; lines of small groups that a task compares; rows at once.
 TASK_ENTRIES, SKETCHED_ENTRIES, TASK_LINES, CHUNK = 2_000_000, 500_000, 20_000, 1 << 16
@@ -69,7 +70,7 @@ def _distinct_lines(batch: pa.RecordBatch) -> Iterator[list[str]]:
 
 
 def in_company(texts: DataFrame, parts: int) -> DataFrame:
-    """texts: one column. h: first eight bytes of the digests of lines that share a band with another line."""
+    """texts: one column. h: low halves of the short ids of lines that share a band with another line."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +80,7 @@ def in_company(texts: DataFrame, parts: int) -> DataFrame:
                 keys = band_keys(signatures(*line_shingles(lines, SHINGLE), BANDS * ROWS), ROWS)
                 entries = np.empty(keys.size, dtype=ENTRY)
                 entries["key"] = keys.ravel().astype(np.uint32)
-                entries["id"] = np.repeat(_short([line_id(x) for x in lines]), BANDS)
+                entries["id"] = np.repeat(_short([line_id(x) for x in lines]).astype(np.uint32), BANDS)
                 cols = list(zip(*deal(keys.ravel(), entries, parts), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "blob"])
 
@@ -90,7 +91,7 @@ def in_company(texts: DataFrame, parts: int) -> DataFrame:
         met = np.zeros(len(key), dtype=bool)
         met[1:] |= same
         met[:-1] |= same
-        return pa.table({"h": pa.array(np.unique(ids[met]))})
+        return pa.table({"h": pa.array(np.unique(ids[met]).astype(np.int64))})
 
     return texts.mapInArrow(emit, "part int, blob binary").groupBy("part").applyInArrow(meet, "h long").distinct()
 

@@ -27,11 +27,14 @@ class Chunks(dict):
     encoded without it: most chunks that a corpus shows for the first time are such.
     """
 
-    def __init__(self, enc: Encoder, word_ids: Callable[[str], list[int]], cap: int):
+    def __init__(self, enc: Encoder, word_ids: Callable[[str], list[int]], cap: int, remember: bool):
+        """remember: keep words, too, since chunks share them; not worth it where encoding one costs little."""
         super().__init__()
-        self.enc, self.word_ids, self.cap, self.old = enc, word_ids, cap, {}
+        self.enc, self.cap, self.old = enc, cap, {}
         self.lower, self.lead = enc.kind == "words", int(enc.kind == "bytes")
-        self.marks = Memo(lambda w: array("I", word_ids(w)).tobytes(), MEMO_WORDS // 8)
+        make = lambda w: array("I", word_ids(w)).tobytes()
+        self.marks = Memo(make, MEMO_WORDS if remember else MEMO_WORDS // 8)
+        self.word = self.marks.__getitem__ if remember else make
 
     def __missing__(self, c: str) -> bytes:
         value = self.old.get(c)
@@ -40,7 +43,7 @@ class Chunks(dict):
             if (word[1:] if self.lead and word[:1] == " " else word).isalpha():
                 low = (word.lower() if word.isascii() else self.enc.normalise(word)) if self.lower else word
                 if low is word or not self.lower or low.isalpha():
-                    value = array("I", self.word_ids(low)).tobytes()
+                    value = self.word(low)
                     if len(word) < len(c):
                         value += self.marks[c[len(word) :]]
             if value is None:
@@ -55,9 +58,9 @@ class Chunks(dict):
 class FastIds:
     """Ids of whole texts as uint32 bytes: chunks are looked up, only new ones are encoded."""
 
-    def __init__(self, enc: Encoder, word_ids: Callable[[str], list[int]]):
+    def __init__(self, enc: Encoder, word_ids: Callable[[str], list[int]], remember: bool):
         self.enc = enc
-        self.memo = Chunks(enc, word_ids, MEMO_CHUNKS)
+        self.memo = Chunks(enc, word_ids, MEMO_CHUNKS, remember)
         self.special = {i: array("I", [i]).tobytes() for i in enc.special.values()}
 
     def __call__(self, text: str | None) -> bytes:
@@ -97,7 +100,7 @@ def fast_ids(path: str, by: str = "transducer") -> FastIds:
             make = lambda w: lib.encode(w, add_special_tokens=False).ids
         else:
             make = core_words(enc) if by == "core" else enc.word_ids
-        _FAST[path, by] = FastIds(enc, make)
+        _FAST[path, by] = FastIds(enc, make, by != "core")
     return _FAST[path, by]
 
 
