@@ -31,7 +31,6 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    ship(spark)
     stash, row = Stash(spark, "quality"), free_name(docs, "__row")
     rows = numbered(docs, row, stash)
     bad = judge(rows, table(spark, sf_dir, "labels"), stash=stash, keep=(row,)).where("not kept").select(row)
