@@ -64,3 +64,12 @@ def issue_evidence(found: DataFrame, source: Column, discussion: bool = False) -
         kind, authority = F.lit("ISSUE_WITNESS"), F.lit("PROVISIONAL")
         rows = rows.withColumn("rule", F.concat(F.lit("public_discussion:"), "rule"))
     return rows.select(*found.columns, kind.alias("kind"), authority.alias("authority"), "ids.evidence_id", "ids.cluster", "ids.content_hash")
+
+
+def contract_evidence(contracts: DataFrame) -> DataFrame:
+    """contracts' rows with authority, end_line and ids: documentation and types have authority B, other contracts C.
+    contracts: source, content, kind."""
+    authority = F.when(F.col("kind").isin("DOCUMENTATION", "TYPE_CONTRACT"), "B").otherwise("C")
+    end = F.greatest(F.lit(1), F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))) + 1)
+    ids = evidence_ids(F.col("kind"), F.col("source"), F.lit(1), end, F.col("content"))
+    return contracts.select(*contracts.columns, authority.alias("authority"), end.cast("long").alias("end_line"), ids.alias("__ids")).select(*contracts.columns, "authority", "end_line", "__ids.evidence_id", "__ids.cluster", "__ids.content_hash")

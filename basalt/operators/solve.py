@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -86,3 +87,68 @@ def scenario_partitions(leaves: DataFrame, key: str, cap: int = cs.CAP) -> DataF
     rows = rows.withColumn("__k", F.struct(F.col(key).alias("key"), "place", "constraint", F.exists("domains", lambda d: F.coalesce(d["is_open"], F.lit(False))).alias("open")))
     solved = solve_constraints(rows.select("__k", "variables", "domains", F.array("constraint").alias("constraints")), "__k", cap)
     return solved.select(F.col("__k.key").alias(key), "__k.place", "__k.constraint", "satisfiable", "witness", "reason", "complete", (F.col("complete") & ~F.col("__k.open")).alias("covers"))
+
+
+def expected_values(rows: DataFrame, key: str) -> DataFrame:
+    """key, found, expected (canonical JSON; null if not found). rows: key, formula."""
+
+    def act(formula):
+        found, value = cs.expected_value(formula or "")
+        try:
+            text = json.dumps(cs.comparable(value), ensure_ascii=True, sort_keys=True, separators=(",", ":"), allow_nan=False) if found else None
+        except (TypeError, ValueError):  # no JSON for it, as for complex numbers
+            return False, None
+        return found, text
+
+    return _rowwise(rows, ["formula"], key, act, {"found": "boolean", "expected": "string"})
+
+
+#: What a claim's authority is worth. Fixed values.
+WORTH = {"A": 5.0, "B": 3.0, "C": 2.0}
+
+
+def enumerate_assignments(claims: DataFrame, refutes: DataFrame, most: int = 32) -> DataFrame:
+    """graph, place, choices (array, a claim or `?` by subject), score, complete: coherent readings of a graph's
+    hypotheses, best first, by beam search over its subjects.
+
+    claims: graph, claim, kind (SEMANTIC_HYPOTHESIS, NORMATIVE_REQUIREMENT or another), subject, authority, clusters
+    array<string>; refutes: graph, a, b. Each subject takes one of its hypotheses or none (`?`, which costs 1). A reading
+    is incoherent if it holds two hypotheses, or a hypothesis and a trusted requirement, that refute each other. complete:
+    no subject with a trusted hypothesis is left open. A beam keeps four times `most` readings, 16 at least (the rule's
+    own limits). A graph is one task; its readings are bounded by the beam.
+    """
+    kind = claims.schema["graph"].dataType.simpleString()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = {r["claim"]: r for r in left.to_pylist()}
+        clash: dict[str, set[str]] = {}
+        for r in right.to_pylist():
+            clash.setdefault(r["a"], set()).add(r["b"])
+            clash.setdefault(r["b"], set()).add(r["a"])
+        hypothesis = lambda c: rows[c]["kind"] == "SEMANTIC_HYPOTHESIS"
+        fixed = {c for c, r in rows.items() if r["kind"] == "NORMATIVE_REQUIREMENT" and r["authority"] in WORTH}
+        subjects: dict[str, list[str]] = {}
+        for c in sorted(rows):
+            if hypothesis(c):
+                subjects.setdefault(rows[c]["subject"] or "", []).append(c)
+
+        def worth(choices: tuple[str, ...]) -> float:
+            held = [c for c in choices if c != "?"]
+            clusters = {x for c in held for x in rows[c]["clusters"] or []}
+            return sum(WORTH.get(rows[c]["authority"], 0.5) for c in held) - (len(choices) - len(held)) + 0.25 * len(clusters)
+
+        def order(choices: tuple[str, ...]) -> tuple:
+            return -worth(choices), choices.count("?"), choices
+
+        beam: list[tuple[str, ...]] = [()]
+        for subject in sorted(subjects):
+            wider = [(*p, c) for p in beam for c in [*subjects[subject], "?"] if c == "?" or not clash.get(c, set()) & (fixed | {x for x in p if x != "?"})]
+            beam = sorted(wider, key=order)[: max(4 * most, 16)]
+        names = sorted(subjects)
+        best = sorted(beam, key=lambda p: (-worth(p), p))[:most] if names else []
+        done = [all(c != "?" or not any(rows[x]["authority"] in WORTH for x in subjects[s]) for s, c in zip(names, p, strict=True)) for p in best]
+        n = len(best)
+        own = pa.array([key[0].as_py()] * n, left.schema.field("graph").type)
+        return pa.table({"graph": own, "place": pa.array(range(1, n + 1), pa.int32()), "choices": pa.array([list(p) for p in best], pa.list_(pa.string())), "score": pa.array(map(worth, best), pa.float64()), "complete": pa.array(done, pa.bool_())})
+
+    return claims.groupBy("graph").cogroup(refutes.groupBy("graph")).applyInArrow(run, f"graph {kind}, place int, choices array<string>, score double, complete boolean")

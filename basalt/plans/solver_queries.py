@@ -69,3 +69,12 @@ SELECT id, place, text AS "constraint", {_HITS} AS satisfiable, CASE WHEN {_HITS
 def scenario_partitions(spark, sf_dir):
     rows = _problem(spark, sf_dir).where("not lost").select("id", "variables", "domains", F.when(F.col("id") % 3 == 0, "y").otherwise("True").alias("precondition"), F.array(F.concat(F.lit("x >= "), F.col("k").cast("string"))).alias("guards"))
     return sv.scenario_partitions(rows, "id").drop("witness")
+
+
+EXPECTATIONS = View("expectations", "part", id="p_partkey", formula="concat(CASE p_partkey % 6 WHEN 0 THEN concat('f(x) returns ', CAST(p_size AS STRING), ' for every x') WHEN 1 THEN concat('Expected result is [', CAST(p_size AS STRING), ', ''a'']') WHEN 2 THEN 'it returns None.' WHEN 3 THEN concat('assert run(1) == (', CAST(p_size AS STRING), ',)') WHEN 4 THEN 'returns the list' ELSE 'nothing said' END, '')")
+
+
+@query(cte(EXPECTATIONS) + """, s AS (SELECT id, id % 6 AS m, regexp_extract(formula, '[0-9]+(?:[^0-9]*$)') AS tail, CASE id % 6 WHEN 0 THEN regexp_extract(formula, 'returns ([0-9]+)', 1) WHEN 1 THEN regexp_extract(formula, '\\[([0-9]+)', 1) ELSE regexp_extract(formula, '\\(([0-9]+),', 1) END AS n FROM expectations)
+SELECT id, m < 4 AS found, CASE m WHEN 0 THEN n WHEN 1 THEN '{"items":[' || n || ',"a"],"length":2,"type":"list"}' WHEN 2 THEN 'null' WHEN 3 THEN '{"items":[' || n || '],"length":1,"type":"tuple"}' END AS expected FROM s""")
+def expected_values(spark, sf_dir):
+    return sv.expected_values(EXPECTATIONS.frame(spark, sf_dir), "id")

@@ -181,3 +181,13 @@ SELECT id, CASE WHEN {_ANY(['modulenotfounderror', 'no module named'])} THEN 'DE
 def run_diagnostics(spark, sf_dir):
     rows = LOGS.frame(spark, sf_dir)
     return rows.select("id", rn.infrastructure_failure(F.col("stdout"), F.col("stderr"), F.col("code").cast("int")).alias("health"), rn.environment_blocked(F.col("stdout"), F.col("stderr")).alias("blocked"), rn.stable_text(F.col("stdout")).alias("stable_text"))
+
+
+CONTRACTS = View("contracts", "part", source="concat('doc/', p_brand)", content="concat(p_name, CASE p_partkey % 3 WHEN 0 THEN chr(10) WHEN 1 THEN concat(chr(10), p_type, chr(10)) ELSE '' END)", kind=cases("p_size", "DOCUMENTATION", "TYPE_CONTRACT", "DYNAMIC_OBSERVATION"))
+
+
+@query(cte(CONTRACTS) + f""", c AS (SELECT *, 1 + length(content) - length(replace(content, chr(10), '')) AS end_line, sha256({_QUOTED('content')}) AS content_hash FROM contracts)
+SELECT source, kind, CASE kind WHEN 'DYNAMIC_OBSERVATION' THEN 'C' ELSE 'B' END AS authority, CAST(end_line AS BIGINT) AS end_line, content_hash,
+  'evidence-' || substr(sha256('["' || kind || '",{{"end_column":0,"end_line":' || end_line || ',"source":"' || source || '","start_column":0,"start_line":1}},"' || content_hash || '"]'), 1, 24) AS evidence_id FROM c""")
+def contract_evidence(spark, sf_dir):
+    return ev.contract_evidence(CONTRACTS.frame(spark, sf_dir)).select("source", "kind", "authority", "end_line", "content_hash", "evidence_id")
