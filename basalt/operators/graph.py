@@ -6,14 +6,17 @@ when a round adds nothing. Nulls never match a key, so edges with a null end are
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Rounds, ranked
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 #: Edges that one task finishes by itself; more go through distributed rounds first.
 TASK_EDGES = 2_000_000
 
