@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q01_packing", "q02_toxicity", "q03_ngram_join", "q04_line_dedup", "q05_bpe", "q06_topk", "q07_sharding", "q08_quality", "q09_token_files", "q10_chat"]
+MODULES = ["q01_packing", "q02_toxicity", "q03_ngram_join", "q04_line_dedup", "q05_bpe", "q06_topk", "q07_sharding", "q08_quality", "q09_token_files", "q10_chat", "q11_langid", "q12_centroids", "q13_runs"]
 
 
 def modules():
