@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None, key: list[str], learnt: Colum
             )
 
     rows = docs.select(*key, F.col(text).alias("__text"), F.when(learnt, F.col(lang).cast("string")).alias("__lang"))
-    seen = stash.put(rows.mapInArrow(task, schema), "cosines")
+    seen = stash.put(rows.mapInArrow(task, schema).hint("rebalance"), "cosines")  # a few numbers a text: few files
     bars = seen.where("__own is not null").groupBy(F.col("__own").alias("__c")).agg(F.percentile_approx("__cos", outside, 10_000).alias("__bar"))
     known = seen.join(F.broadcast(bars), "__c", "left")  # a row per centroid
     rejected = F.coalesce(F.col("score") < F.col("__bar"), F.lit(False))
