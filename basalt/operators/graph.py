@@ -48,8 +48,8 @@ def hops(edges: DataFrame, start: DataFrame, forbidden: list[str] | None = None,
         level += 1
         leave = frontier.where(~stop) if stop is not None else frontier
         step = e.join(leave.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = rounds.put(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)))
-        if not frontier.limit(1).count():
+        frontier, n = rounds.counted(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)))
+        if not n:
             break
         seen = seen.unionByName(frontier)
     return seen

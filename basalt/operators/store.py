@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,13 @@ class Rounds:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The table and its rows, counted by the write itself. Tasks that run again may count twice, so only 0 and not 0
+        are certain."""
+        rows = Observation()
+        table = self.put(df.observe(rows, F.count(F.lit(1)).alias("n")))
+        return table, rows.get["n"]
+
 
 def ranked(df: DataFrame, order: list[Column], name: str, rounds: Rounds) -> DataFrame:
     """df with the place of each row (from 1) in the order of all rows, without one task that sees them all: ranges of the
