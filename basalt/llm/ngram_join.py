@@ -16,6 +16,7 @@ row is a document. Columns beside id and text are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,9 @@ from .tokens import slices
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, TARGET, SKETCH = 24, 8, 0.9999, 64
-#: The least share of equal sketch values that is still looked at: five standard deviations below a pair at 0.8.
-LEAST_SKETCH = 0.55
+#: A sketch rules a pair out whose share of equal values is so many standard deviations below that of a pair of the least
+#: similarity.
+DEVIATIONS = 5.25
 #: Distinct documents of a block, and its shingles, about; documents of small groups that a task takes; shingles that
 #: are laid out at once; members of a group that is compared pair by pair.
 BLOCK, BLOCK_SHINGLES, TASK_DOCS, RUN, FEW = 800, 2_000_000, 1500, 500_000, 5
@@ -44,11 +46,18 @@ ENTRY = np.dtype([("key", "<u4"), ("rest", "V3"), ("id", "<i8"), ("sketch", "V32
 
 
 def matched_depth(similarity: float, trees: int, depth: int, target: float) -> int:
-    """The longest prefix that finds a pair of this similarity with the target chance."""
-    d = depth
-    while d > 1 and 1 - (1 - similarity**d) ** trees < target:
-        d -= 1
-    return d
+    """The longest prefix that finds a pair of this similarity with the target chance; an error if none does."""
+    for d in range(depth, 0, -1):
+        if 1 - (1 - similarity**d) ** trees >= target:
+            return d
+    raise ValueError(f"{trees} trees don't find pairs of similarity {similarity} with chance {target}")
+
+
+def least_sketch(similarity: float) -> float:
+    """The least share of equal four-bit sketch values that is still looked at: values of a pair are equal with chance
+    s + (1 - s) / 16."""
+    p = similarity + (1 - similarity) / 16
+    return p - DEVIATIONS * math.sqrt(p * (1 - p) / SKETCH)
 
 
 def _word_hash(word: str) -> int:
@@ -93,8 +102,9 @@ def _share(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)) / SKETCH
 
 
-def alike(sketch: np.ndarray) -> np.ndarray:
-    """Per row: the first row that it is joined with, directly or not. Each row meets all those not yet joined."""
+def alike(sketch: np.ndarray, least: float) -> np.ndarray:
+    """Per row: the first row that it is joined with, directly or not. Each row meets all those not yet joined; a pair
+    is joined if `least` of its values are equal."""
     root = np.arange(len(sketch))
     left, rest = root[1:], sketch[1:]
     first, todo = 0, [0]
@@ -103,7 +113,7 @@ def alike(sketch: np.ndarray) -> np.ndarray:
             first, left, rest = int(left[0]), left[1:], rest[1:]
             todo = [first]
             continue
-        near = _share(sketch[todo.pop()], rest) >= LEAST_SKETCH
+        near = _share(sketch[todo.pop()], rest) >= least
         if near.any():
             root[left[near]] = first
             todo += left[near].tolist()
@@ -149,8 +159,9 @@ def describe(docs: DataFrame, id_col: str, text_col: str, parts: int, words: int
     return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
-def loose_links(blobs: DataFrame) -> DataFrame:
+def loose_links(blobs: DataFrame, similarity: float) -> DataFrame:
     """(a, b): short class ids that a prefix group joins."""
+    least = least_sketch(similarity)
 
     def meet(table: pa.Table) -> pa.Table:
         e = in_pairs(table, ENTRY)
@@ -164,7 +175,7 @@ def loose_links(blobs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
         pairs = []
         for lo, hi in zip(first.tolist(), np.append(first[1:], len(e)).tolist(), strict=True):
-            roots = alike(sketch[lo:hi])
+            roots = alike(sketch[lo:hi], least)
             hit = np.flatnonzero(roots != np.arange(hi - lo))
             if len(hit):
                 ids = e["id"][lo:hi]
@@ -330,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(4 * width(spark), -(-docs.count() * TREES // TASK_ENTRIES))
     both = stash.put(describe(docs, id_col, text_col, parts, words, depth), "described")
     ids = both.where("part is null").select("id", "cls", "h", "th")
-    loose = stash.put(loose_links(both.where("part is not null").select("part", "blob")), "loose")
+    loose = stash.put(loose_links(both.where("part is not null").select("part", "blob"), similarity), "loose")
     groups = components(loose, stash)
     # of each class in a group one text is read again; others with that hash do no harm, as classes are joined exactly
     wanted = ids.join(groups.select(F.col("v").alias("h")), "h", "left_semi").groupBy("cls").agg(F.min("th").alias("th"))

@@ -198,3 +198,52 @@ def test_each_stage_equals_plain_loops(spark, corpus):
     assert sorted((r.doc_id, r.length, r.ids_crc32) for r in packed) == sorted(want)
     final = pipeline.run(spark, corpus).collect()
     assert sorted((r.doc_id, r.length, r.ids_crc32) for r in final) == sorted(want)
+
+
+def _edited(rng, base, keep):
+    """base with places replaced until the Jaccard similarity of 5-grams is just above `keep`."""
+    grams = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    jaccard = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    now = list(base)
+    while True:
+        new = list(now)
+        new[rng.randrange(len(new))] = rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.random())[2:8] if len(base[0]) > 1 else rng.choice("abcdefghijklmnopqrstuvwxyz")
+        if jaccard(base, new) < keep:
+            return now
+        now = new
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.65, 0.8])
+def test_pairs_just_above_any_similarity_are_found(spark, similarity):
+    """Of 150 pairs at the bar, texts and lines, 99 % are found, and nothing that is no pair."""
+    from basalt.llm.ngram_join import near_duplicates
+
+    ship(spark)
+    rng = random.Random(int(similarity * 100))
+    docs, lines = [], []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(_edited(rng, words, similarity)))]
+        line = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90)]
+        lines += [(2 * k, "".join(line)), (2 * k + 1, "".join(_edited(rng, line, similarity)))]
+    got = {r.doc_id: (r.class_id, r.links) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similarity=similarity).collect()}
+    assert sum(got[2 * k + 1] == (2 * k, 1) for k in range(150)) >= 149 and all(c // 2 == i // 2 for i, (c, _) in got.items())
+    kept = dedup_lines(spark.createDataFrame(lines, "doc_id long, text string"), similarity=similarity).collect()
+    assert sum(r.removed == [0] and r.doc_id % 2 == 1 for r in kept) >= 149 and all(r.removed == [] for r in kept if r.doc_id % 2 == 0)
+
+
+def test_similarities_that_signatures_cannot_find_are_refused(spark):
+    from basalt.llm.ngram_join import near_duplicates
+
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for f in (near_duplicates, dedup_lines):
+        with pytest.raises(ValueError):
+            f(df, similarity=0.01)
+
+
+def test_a_text_of_many_equal_lines(spark):
+    """Half a million lines, of which three stay."""
+    ship(spark)
+    text = "\n".join(["the same line once more"] * 500_000 + ["", "another line at the end", "the same line once more"])
+    (row,) = dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "the same line once more\n\nanother line at the end" and len(row.removed) == 500_000 and row.n_lines == 500_003
