@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["graph_queries", "check_queries", "trace_queries", "domain_queries", "gate_queries", "oracle_queries", "trial_queries", "challenge_queries", "requirement_queries", "text_queries", "binding_queries", "path_queries", "solver_queries", "trajectory_queries", "program_queries", "slice_queries", "search_queries", "cut_queries"]
+MODULES = ["graph_queries", "check_queries", "trace_queries", "domain_queries", "gate_queries", "oracle_queries", "trial_queries", "challenge_queries", "requirement_queries", "text_queries", "binding_queries", "path_queries", "solver_queries", "trajectory_queries", "program_queries", "slice_queries", "search_queries", "cut_queries", "ledger_queries"]
 
 
 def modules():
