@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality import ALPHA, DELTA, MAX_STRATA, RULES, judge
+from .quality import ALPHA, DELTA, RULES, judge
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ known AS (
   SELECT min(b.doc_id) AS doc_id, stratum, t, quality > 0 AS good, any_value(COLUMNS(['n_words', 'word_chars', 'n_symbols', 'n_dup_lines', 'n_repeat_words', 'n_lines', 'n_upper']))
   FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY stratum, t, quality > 0
 ),
-top AS (SELECT stratum, count(*) FILTER (good) AS n FROM known GROUP BY stratum ORDER BY n DESC, stratum LIMIT {MAX_STRATA}),
+top AS (SELECT stratum, count(*) FILTER (good) AS n FROM known GROUP BY stratum),
 grid(rule, num, den, k, cutoff) AS (VALUES {grid}),
 v AS ({values}),
 cell AS (
