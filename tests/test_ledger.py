@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basalt.operators import ledger as le
 from basalt.operators import minimise as mi
+from basalt.operators import roundtrip as rt
 from basalt.operators.entrypoints import PATH
 
 
@@ -99,3 +100,21 @@ def test_minimal_cases_equal_one_by_one(spark):
     got = mi.minimise(df, mi.by_rules(spark.createDataFrame(rules, "case int, rule int, part string")))
     assert {tuple(r) for r in got.collect()} == want
     assert mi.minimise(df.where(F.lit(False)), mi.by_rules(spark.createDataFrame(rules, "case int, rule int, part string"))).collect() == []
+
+
+def test_graphs_come_back_whole(spark):
+    """Order of rows and keys, copies and nulls don't matter; a changed or lost row does."""
+    nodes = spark.createDataFrame([(1, "a", "call", None, {"k": "1", "b": None}, None), (1, "b", None, "x\ny", None, ["p"]), (2, "a", "call", "l", {}, []), (1, None, "call", "", None, None)], "graph int, " + rt.NODE)
+    edges = spark.createDataFrame([(1, "e", "calls", ["a"], ["b"], None, 0.5, {"q": "é"}, None), (2, "e", "calls", ["a"], ["zz"], "True", None, None, ["p"])], "graph int, " + rt.EDGE)
+    packed, digests = rt.pack_graphs(nodes, edges)
+    _, again = rt.pack_graphs(nodes.union(nodes).orderBy("node"), edges)
+    assert {tuple(r) for r in digests.collect()} == {tuple(r) for r in again.collect()}
+    n, e, broken = rt.unpack_graphs(packed, digests)
+    assert {(r.graph, r.node, r.label) for r in n.collect()} == {(1, "a", None), (1, "b", "x\ny")}
+    (edge,) = e.collect()
+    assert (edge.source_ids, edge.confidence, edge.attributes, edge.condition) == (["a"], 0.5, {"q": "é"}, None)
+    assert [tuple(r) for r in broken.collect()] == [(2, "MISSING_NODE")]
+    _, _, broken = rt.unpack_graphs(packed.where("not (graph = 1 and id = 'b')"), digests)
+    assert (1, "DIGEST_MISMATCH") in {tuple(r) for r in broken.collect()}
+    kept, gone, unknown = rt.remove_edges(edges, spark.createDataFrame([("e",), ("f",), (None,)], "edge_id string"))
+    assert kept.count() == 0 and gone.count() == 2 and [r.edge_id for r in unknown.collect()] == ["f"]
