@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import hops, impact_cone, reachable, strong_components
+from .graph import hops, impact_cone, picked_in_batches, reachable, strong_components
 from .store import Rounds, ranked
 
 #: Relations forward and (further ones) backward; what is counted at most; distance of what none observes.
@@ -68,21 +68,11 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, counted: Column | None = Non
 def best_cover(covers: DataFrame, scores: DataFrame) -> DataFrame:
     """round, node, gain: greedy picks by (new units, score, node), the greatest first, until no unit is left.
 
-    covers: node, unit; scores: node, score. A node that comes before all nodes it shares a unit with keeps its turn, so
-    all such nodes are picked at once; sorting them gives the order of one pick at a time.
+    covers: node, unit; scores: node, score. Picks come in batches, each from one bounded table of the first nodes.
     """
     rounds = Rounds(covers.sparkSession, "best")
-    left, n = rounds.counted(covers.select("node", "unit").where("node is not null and unit is not null").distinct().join(scores.select("node", "score"), "node"))
-    done = left.select("node", F.lit(0).cast("long").alias("gain"), "score").limit(0)
-    while n:
-        rank = left.groupBy("node").agg(F.count("*").alias("gain"))
-        keyed = left.join(rank, "node").select("node", "unit", F.struct("gain", "score", "node").alias("key"))
-        first = keyed.groupBy("unit").agg(F.max("key").alias("first"))
-        free = keyed.join(first, "unit").groupBy("node", "key").agg(F.bool_and(F.col("key") == F.col("first")).alias("free")).where("free")
-        new = rounds.put(free.select("node", "key.gain", "key.score"))
-        done = done.unionByName(new)
-        hit = left.join(new.select("node"), "node", "left_semi").select("unit").distinct()
-        left, n = rounds.counted(left.join(hit, "unit", "left_anti").select("node", "unit", "score"))
+    left = rounds.put(covers.select("node", "unit").where("node is not null and unit is not null").distinct().join(scores.select("node"), "node", "left_semi"))
+    done = picked_in_batches(left, scores.select("node", F.lit(1.0).alias("cost"), "score"), rounds, greatest=True)
     return ranked(done, [F.desc("gain"), F.desc("score"), F.desc("node")], "round", rounds).select("round", "node", "gain")
 
 
