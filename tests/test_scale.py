@@ -90,3 +90,18 @@ def test_cover_takes_few_rounds(spark, monkeypatch, task_edges):
     got = sorted(cuts.best_cover(rows, scores).collect())
     assert [(r["node"], r["gain"]) for r in got] == _greedy(covers, lambda x, g: (g, score[x], x))
     assert task_edges < 1000 or n[0] <= 14
+
+
+def test_hunks_are_not_made_unique_as_pairs(spark):
+    """All pairs went through a shuffle of their own; only a hunk of several files can meet a unit twice."""
+    from basalt.operators import bindings as bd
+
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    symbols = df([(1, "a", "x.f"), (1, "b", "x.g"), (1, "a", "x.f"), (2, "b", "y.f"), (None, "a", "z"), (3, None, "pkg.m.f")], "unit long, file string, name string")
+    relations = df([("c", "m.f"), ("c", "m.f"), (None, "f")], "file string, scope string")
+    hunks = df([(10, "a"), (10, "b"), (10, "b"), (11, "a"), (11, "a"), (12, "c"), (13, None), (None, "b"), (12, None)], "hunk long, file string")
+    out = bd.hunks_for_symbols(symbols, relations, hunks)
+    want = {(1, 10), (1, 11), (1, None), (2, 10), (2, None), (None, 10), (None, 11), (3, 12)}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")  # and the first part is a join that nothing follows
