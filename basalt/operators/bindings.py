@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .gates import yes
 from .graph import connected_components
-from .pairs import met_once
+from .pairs import met, met_once
+from .store import Rounds
 
 #: How urgent a unit's status is, from the first; relations that connect units, the first ones first;
 #: labels of hubs, which connect nothing, and the degree from which they are hubs.
@@ -48,10 +49,14 @@ def candidate_units(relations: DataFrame, changed: DataFrame, unit_nodes: DataFr
 
     relations: relation, file, scope. changed: node, file, name (qualified). unit_nodes: unit, node.
     """
-    at = changed.join(unit_nodes, "node").select("file", "name", "unit").distinct()
+    rounds = Rounds(relations.sparkSession, "candidates")
+    at = rounds.put(changed.join(unit_nodes, "node").select("file", "name", "unit").distinct())
     fits = (F.col("scope") == "<module>") | F.contains(F.col("name"), F.col("scope"))
-    direct = relations.join(at, "file").where(fits).select("relation", "unit").distinct()
-    rest = relations.select("relation").join(direct.select("relation").distinct(), "relation", "left_anti")
+    named = at.select("file", "name").distinct().join(relations.select("file", "scope").distinct(), "file").where(fits)
+    spots = at.join(named, ["file", "name"]).select("unit", "file", "scope")
+    direct = met_once(spots, relations.select("relation", "file", "scope"), ["file", "scope"], "unit", "relation").select("relation", "unit")
+    hit = relations.join(named.select("file", "scope").distinct(), ["file", "scope"], "left_semi").select("relation").distinct()
+    rest = relations.select("relation").join(hit, "relation", "left_anti")
     return direct, rest, at.select("unit").distinct()
 
 
@@ -266,23 +271,31 @@ def check_projection(requirements: DataFrame, checks: DataFrame) -> DataFrame:
 
     requirements: requirement, evidence array, symbols array; checks: check_id, role, requirements array, evidence array,
     oracle, symbols array. Each way is an equi-join: symbols overlap if one is a dotted tail of the other, or if both are
-    dotted and end alike, so tails and last parts are joined.
+    dotted and end alike, so tails and last parts are joined. Checks of equal evidence and symbols are one class for it;
+    classes' pairs are made unique, and the checks' own pairs laid out last, with what is bound by name alone.
     """
+    rounds = Rounds(checks.sparkSession, "projection")
+    merged = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull()))).alias(c)
+    signed = rounds.put(checks.where("check_id is not null").groupBy("check_id").agg(merged("evidence"), merged("symbols")))
+    alike = rounds.put(signed.groupBy("evidence", "symbols").agg(F.min("check_id").alias("like")))
+    member = rounds.put(signed.join(alike, ["evidence", "symbols"]).select("check_id", "like"))
     by_name = checks.select("check_id", F.explode("requirements").alias("requirement"))
     by_oracle = checks.select("check_id", F.col("oracle").alias("requirement"))
-    named = by_name.unionByName(by_oracle).join(requirements.select("requirement"), "requirement", "left_semi").select("requirement", "check_id")
-    shared = requirements.select("requirement", F.explode("evidence").alias("e")).join(checks.select("check_id", F.explode("evidence").alias("e")), "e").select("requirement", "check_id")
+    named = by_name.unionByName(by_oracle).join(requirements.select("requirement").distinct(), "requirement", "left_semi").select("requirement", "check_id").distinct()
+    shared = requirements.select("requirement", F.explode("evidence").alias("e")).join(alike.select("like", F.explode("evidence").alias("e")), "e").select("requirement", "like")
     parts = lambda c: F.split(c, "\\.")
     tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "."))
     own = requirements.select("requirement", F.explode("symbols").alias("s")).where("s <> ''")
-    ran = checks.select("check_id", F.explode("symbols").alias("x")).where("x <> ''")
-    one = own.select("requirement", F.explode(tails("s")).alias("x")).join(ran, "x").select("requirement", "check_id")
-    two = ran.select("check_id", F.explode(tails("x")).alias("s")).join(own, "s").select("requirement", "check_id")
+    ran = alike.select("like", F.explode("symbols").alias("x")).where("x <> ''")
+    one = own.select("requirement", F.explode(tails("s")).alias("x")).join(ran, "x").select("requirement", "like")
+    two = ran.select("like", F.explode(tails("x")).alias("s")).join(own, "s").select("requirement", "like")
     last = lambda df, c: df.where(F.contains(c, F.lit("."))).withColumn("tail", F.substring_index(c, ".", -1)).drop(c).distinct()
-    alias = last(own, "s").join(last(ran, "x"), "tail").select("requirement", "check_id")
-    pairs = named.unionByName(shared).unionByName(one).unionByName(two).unionByName(alias).distinct()
+    alias = last(own, "s").join(last(ran, "x"), "tail").select("requirement", "like")
+    classes = rounds.put(shared.unionByName(one).unionByName(two).unionByName(alias).distinct())
     role = F.when(F.col("role").isin("TARGET", "PRESERVATION"), F.col("role")).otherwise("CHALLENGE")
-    return pairs.join(checks.select("check_id", "role"), "check_id").select("requirement", "check_id", role.alias("role"))
+    told = checks.select("check_id", role.alias("role"))
+    only = named.join(member, "check_id").join(classes, ["requirement", "like"], "left_anti").select("requirement", "check_id").join(told, "check_id")
+    return met(classes, member.join(told, "check_id"), ["like"], rounds).unionByName(only.select("requirement", "check_id", "role"))
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
