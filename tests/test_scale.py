@@ -105,3 +105,55 @@ def test_hunks_are_not_made_unique_as_pairs(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")  # and the first part is a join that nothing follows
+
+
+def _pairs_leave_unshuffled(df):
+    """No exchange, sort or aggregate stands above the explosion that makes the pairs."""
+    top = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    return "Generate" in df._jdf.queryExecution().optimizedPlan().toString() and not any(x in top for x in ("Aggregate", "Sort", "Window", "Join", "Repartition"))
+
+
+def test_candidate_units_leave_unshuffled(spark):
+    from basalt.operators import bindings as bd
+
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    assert _pairs_leave_unshuffled(registry.queries()["candidate_units"](spark, SF))
+    relations = df([(1, "a", "<module>"), (1, "b", "f"), (2, "b", "g"), (3, "a", "f"), (3, "a", "f"), (4, None, "f"), (5, "b", None), (None, "a", "f")], "relation long, file string, scope string")
+    changed = df([("n1", "a", "x.f"), ("n2", "b", "x.f"), ("n3", "a", "x.f")], "node string, file string, name string")
+    units = df([(7, "n1"), (7, "n2"), (7, "n3"), (8, "n2"), (9, "n4"), (None, "n1")], "unit long, node string")
+    direct, rest, every = bd.candidate_units(relations, changed, units)
+    assert sorted(map(tuple, direct.collect()), key=str) == sorted([(1, 7), (1, 8), (1, None), (3, 7), (3, None), (None, 7), (None, None)], key=str)
+    assert {r[0] for r in rest.collect()} == {2, 4, 5, None} and {r[0] for r in every.collect()} == {7, 8, None}
+
+
+def test_check_pairs_leave_unshuffled(spark):
+    from basalt.operators import bindings as bd
+
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    reqs = df([("r1", ["e1", "e2"], ["p.A.f"]), ("r1", ["e3"], []), ("r2", None, ["q.f", None]), ("r3", ["e9"], None)], "requirement string, evidence array<string>, symbols array<string>")
+    rows = [(1, "TARGET", ["r1", "r1"], ["e1", "e2"], "r1", []), (2, "X", [], ["e2", None], "", ["A.f"]), (3, "PRESERVATION", ["r3"], [], "r3", ["f", ""]), (4, "TARGET", None, ["e1", "e2"], None, []), (4, "Y", ["r2"], ["e9"], None, None), (5, "TARGET", ["none"], ["e0"], "r0", ["g"])]
+    checks = df(rows, "check_id long, role string, requirements array<string>, evidence array<string>, oracle string, symbols array<string>")
+    out = bd.check_projection(reqs, checks)
+    want = [("r1", 1, "TARGET"), ("r1", 2, "CHALLENGE"), ("r2", 2, "CHALLENGE"), ("r1", 3, "PRESERVATION"), ("r2", 3, "PRESERVATION"), ("r3", 3, "PRESERVATION")]
+    want += [(r, 4, role) for r in ("r1", "r2", "r3") for role in ("TARGET", "CHALLENGE")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "Generate" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan.split("Generate")[0]
+
+
+def test_searches_that_start_alike_are_one(spark):
+    """Each search was carried by itself, from all of its starts."""
+    from basalt.operators import search as se
+
+    rng = random.Random(3)
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    nodes = df([(f"m{i:03}", f"f{i % 3}", 1 + i % 5, None if i % 4 else 2 + i % 5) for i in range(60)], "node string, file string, line int, end_line int").selectExpr("*", "'call' as kind", "'M.run' as symbol", "false as predicate")
+    edges = df([(f"e{i}", rng.choice(["calls", "dispatch"]), f"m{rng.randrange(60):03}", f"m{rng.randrange(60):03}") for i in range(80)], "edge_id string, kind string, src string, dst string")
+    frames = df([(s, p, f"f{(s // 4 + p) % 4}", 1 + (s % 2 + 2 * p) % 6) for s in range(40) for p in range(3)] + [(50, 0, None, 1), (None, 0, "f1", 1)], "search int, place int, file string, line int")
+    starts = se.frame_nodes(frames, nodes).selectExpr("search", "node", "place as distance")
+    for most in (3, 12, 100):
+        member, few = se.alike(frames, nodes, most)
+        likes = member.select("like").distinct().count()
+        assert likes < 30 and few.count() <= likes * (most + 1)
+        want, got = se.causal_slices(edges, nodes, starts, most), se.causal_slices(edges, nodes, few, most)
+        for a, b in zip(want, got, strict=True):
+            assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, se.of_members(b, member).select(*a.columns).collect()), key=str)
