@@ -94,16 +94,23 @@ def ranked_nodes(edges: DataFrame, nodes: DataFrame, entries: DataFrame, observa
     units: unit, node (by default one unit of all that lies between).
     """
     rounds = Rounds(edges.sparkSession, "repair")
-    on = rounds.put(edges.where(F.col("kind").isin(FORWARD)).select("src", "dst").distinct())
-    forward = reachable(on, entries.select("node").distinct())
-    back = reachable(edges.where(F.col("kind").isin(BACKWARD)), observations.select("node").distinct(), forward=False)
+    every = rounds.put(edges.where(F.col("kind").isin(BACKWARD) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst", F.col("kind").isin(FORWARD).alias("on")).distinct())
+    forward = rounds.put(reachable(every.where("on"), entries.select("node").distinct(), stored=True))
+    # what lies between is reached from the entries, so nothing counts that can't be reached from there
+    scope = rounds.put(reachable(every, forward, stored=True))
+    inside = rounds.put(every.join(scope.select(F.col("node").alias("src")), "src", "left_semi"))
+    on = rounds.put(inside.where("on").select("src", "dst"))
+    back = reachable(inside, observations.select("node").distinct(), forward=False)
     between = rounds.put(forward.join(back, "node", "left_semi"))
     legal = rounds.put(between.join(nodes.where("legal").select("node").distinct(), "node", "left_semi"))
     near = hops(on, observations.select("node").distinct(), forward=False).withColumnRenamed("hops", "distance")
     slices = rounds.put(units.select("unit", "node").distinct() if units is not None else between.select(F.lit("unit").alias("unit"), "node"))
     covers = rounds.put(slices.join(legal, "node", "left_semi"))
-    blast = reach_sizes(on, nodes).select("node", F.least("reach", F.lit(MOST)).alias("blast"))
-    tests = reach_sizes(edges.where("kind = 'test_coverage'"), nodes, F.col("is_test")).select("node", F.least("reach", F.lit(MOST)).alias("conflicts"))
+    blast = reach_sizes(on, nodes.join(scope, "node", "left_semi")).select("node", F.least("reach", F.lit(MOST)).alias("blast"))
+    covering = rounds.put(edges.where("kind = 'test_coverage' and src is not null and dst is not null").select("src", "dst").distinct())
+    tested = rounds.put(reachable(covering, legal, stored=True))
+    covering = covering.join(tested.select(F.col("node").alias("src")), "src", "left_semi")
+    tests = reach_sizes(covering, nodes.join(tested, "node", "left_semi"), F.col("is_test")).select("node", F.least("reach", F.lit(MOST)).alias("conflicts"))
     rows = legal.join(covers.groupBy("node").agg(F.count("*").alias("covered")), "node", "left").join(near, "node", "left").join(blast, "node", "left").join(tests, "node", "left")
     rows = rows.select("node", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"), F.coalesce("distance", F.lit(FAR)).cast("long").alias("distance"), F.coalesce("blast", F.lit(1)).cast("long").alias("blast"), F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"))
     score = F.round(F.col("covered") * 10.0 - F.col("distance") - 0.05 * F.col("blast") - 3.0 * F.col("conflicts"), 6)

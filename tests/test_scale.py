@@ -157,3 +157,15 @@ def test_searches_that_start_alike_are_one(spark):
         want, got = se.causal_slices(edges, nodes, starts, most), se.causal_slices(edges, nodes, few, most)
         for a, b in zip(want, got, strict=True):
             assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, se.of_members(b, member).select(*a.columns).collect()), key=str)
+
+
+def test_repair_cuts_leave_out_what_entries_cannot_reach(spark, monkeypatch):
+    """The reach of every node was counted, also of those that no entry leads to."""
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = df([(f"e{i}", "calls", f"x{i}", f"x{i + 1}") for i in range(20)] + [("a", "calls", "in", "m"), ("b", "triggers", "m", "out"), ("c", "calls", "x3", "m"), ("d", "test_coverage", "m", "t")], "edge_id string, kind string, src string, dst string")
+    nodes = df([(n, n == "m", n == "t") for n in ["in", "m", "out", "t", *[f"x{i}" for i in range(21)]]], "node string, legal boolean, is_test boolean")
+    counted, sizes = [], cuts.reach_sizes
+    monkeypatch.setattr(cuts, "reach_sizes", lambda e, n, *a: counted.append(n.count()) or sizes(e, n, *a))
+    got = cuts.ranked_nodes(edges, nodes, df([("in",)], "node string"), df([("out",)], "node string")).ranked.collect()
+    assert [(r["node"], r["covered"], r["distance"], r["blast"], r["conflicts"]) for r in got] == [("m", 1, 1000, 1, 1)]
+    assert max(counted) <= 3
