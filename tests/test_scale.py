@@ -4,8 +4,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from basalt.operators import cuts, graph
+from basalt.operators import cuts, graph, ledger
 from basalt.operators.store import Rounds
 from basalt.plans import registry
 
@@ -169,3 +170,28 @@ def test_repair_cuts_leave_out_what_entries_cannot_reach(spark, monkeypatch):
     got = cuts.ranked_nodes(edges, nodes, df([("in",)], "node string"), df([("out",)], "node string")).ranked.collect()
     assert [(r["node"], r["covered"], r["distance"], r["blast"], r["conflicts"]) for r in got] == [("m", 1, 1000, 1, 1)]
     assert max(counted) <= 3
+
+
+def test_ledger_searches_only_what_leaves_a_path(spark, monkeypatch):
+    """Each observation was searched back to all that leads to it, also past every edge that leaves a path."""
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = df([("e0", "calls", "a", "m"), ("e1", "calls", "m", "z"), ("e2", "calls", "a", "b"), ("e3", "calls", "b", "z"), ("e4", "calls", "a", "dead"), *[(f"x{i}", "calls", f"x{i}", "z") for i in range(30)]], "edge_id string, kind string, src string, dst string").selectExpr("*", "cast(null as string) as condition")
+    paths = df([("l", "p", "w", ["a", "m", "z"], ["e0", "e1"], ["z"])], "leaf string, partition string, path string, nodes array<string>, edges array<string>, observations array<string>")
+    seen, search = [], ledger.spread
+    monkeypatch.setattr(ledger, "spread", lambda *a, **k: seen.append(search(*a, **k)) or seen[-1])
+    got = ledger.edge_ledger(paths, edges, df([("m", "call")], "node string, kind string"), df([("p", [])], "partition string, constraints array<string>")).collect()
+    assert sorted((r["node"], r["edge_id"], r["status"]) for r in got) == [("a", "e0", "ENUMERATED"), ("a", "e2", "FRONTIER"), ("m", "e1", "ENUMERATED")]
+    assert sum(visited.count() for visited, _ in seen) <= 4
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffle files stayed until the driver's garbage was collected."""
+    import glob
+    import os
+
+    kept = lambda: {f for f in glob.glob(f"{spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]}/*/shuffle_*") if os.path.getsize(f)}
+    was = kept()
+    table = Rounds(spark, "kept").put(spark.range(1000).groupBy((F.col("id") % 300).alias("k")).count())
+    left = [f for f in kept() - was if f.endswith(".data")]
+    assert not left and table.count() == 300
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") != "true"
