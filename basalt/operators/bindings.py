@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .gates import yes
 from .graph import connected_components
@@ -122,12 +123,23 @@ def hunks_for_symbols(symbols: DataFrame, relations: DataFrame, hunks: DataFrame
     return met_once(files, hunks.select("hunk", "file"), ["file"], "unit", "hunk")
 
 
+#: Lists of paths that a unit folds at once.
+LISTS = 256
+
+
 def path_projection(unit_symbols: DataFrame, paths: DataFrame, most: int = 40) -> DataFrame:
     """unit, path, place: the paths that hold one of a unit's symbols, the first `most` by name (the rule's own limit).
-    unit_symbols: unit, node; paths: path, node."""
-    hit = unit_symbols.join(paths, "node").select("unit", "path").distinct()
-    place = F.row_number().over(Window.partitionBy("unit").orderBy("path"))
-    return hit.withColumn("place", place).where(F.col("place") <= most)
+    unit_symbols: unit, node; paths: path, node. A node gives its first `most` paths as one list, and a unit
+    folds its lists, LISTS at a time: what is shuffled has a row for each symbol of a unit, and pairs are never rows."""
+    first = F.row_number().over(Window.partitionBy("node").orderBy("path"))
+    near = paths.select("node", "path").distinct().withColumn("n", first).where(F.col("n") <= most).groupBy("node")
+    none = F.when(F.bool_or(F.col("path").isNull()), F.array(F.lit(None).cast(paths.schema["path"].dataType))).otherwise(F.array().cast(ArrayType(paths.schema["path"].dataType)))
+    near = near.agg(F.concat(F.collect_list("path"), none).alias("paths"))
+    lists = unit_symbols.select("unit", "node").distinct().join(near, "node").select("unit", "node", "paths")
+    chunk = F.floor(F.row_number().over(Window.partitionBy("unit").orderBy("node")) / LISTS)
+    fold = lambda df, *by: df.groupBy(*by).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("paths")))), 1, most).alias("paths"))
+    folded = fold(fold(lists.withColumn("chunk", chunk), "unit", "chunk"), "unit")
+    return folded.select("unit", F.posexplode("paths").alias("at", "path")).select("unit", "path", (F.col("at") + 1).alias("place"))
 
 
 def file_costs(nodes: DataFrame, edges: DataFrame, callables: DataFrame) -> DataFrame:
