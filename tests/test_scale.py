@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from basalt.operators import bindings, cuts, graph, ledger
+from basalt.operators import bindings, cuts, entrypoints, graph, ledger
 from basalt.operators.store import Rounds
 from basalt.plans import registry
 
@@ -212,3 +212,18 @@ def test_paths_of_units_are_no_shuffled_pairs(spark, monkeypatch):
     rows = [tuple(r) for r in got.select("unit", "path", "place").collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert not re.search(r"hashpartitioning\(unit#\d+, path#", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bypasses_follow_only_what_a_seed_cuts_off(spark, monkeypatch):
+    """Each seed and observation had a search of its own, over all that leads to the observation."""
+    sizes, put = [], Rounds.put
+    monkeypatch.setattr(Rounds, "put", lambda self, df: (sizes.append((out := put(self, df)).count()), out)[1])
+    n = 60
+    pairs = [("top", f"c{i}") for i in range(n)] + [(f"c{i}", f"o{i}") for i in range(n)] + [(f"o{i}", "p") for i in range(n)]
+    pairs += [("c0", "x1"), ("x1", "x2"), ("x2", "p"), ("c1", "c0"), ("o2", "q")]  # a longer way round o0 and o1; q has none
+    ways = spark.createDataFrame([(*p, 1) for p in pairs], "src string, dst string, length long")
+    around = spark.createDataFrame([(f"o{i}", "p") for i in range(n)] + [("o2", "q")], "seed string, observation string")
+    wanted = around.selectExpr("seed", "concat('c', substring(seed, 2)) AS entry", "observation").unionByName(around.selectExpr("seed", "'top' AS entry", "observation"))
+    got = {(r.seed, r.entry, r.observation): r.bypass for r in entrypoints.bypasses(ways, around, wanted, Rounds(spark, "test")).collect()}
+    assert got == {("o0", "c0", "p"): 3, ("o1", "c1", "p"): 3} | {(f"o{i}", "top", "p"): 3 for i in range(n)}
+    assert max(sizes) < 4 * n  # the searches took n * 3 * n rows
