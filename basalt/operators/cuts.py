@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import hops, impact_cone, picked_in_batches, reachable, strong_components
+from .graph import hops, impact_cone, picked_in_batches, reachable, searched_components
 from .store import Rounds, ranked
 
 #: Relations forward and (further ones) backward; what is counted at most; distance of what none observes.
@@ -31,14 +31,20 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, counted: Column | None = Non
     nodes are nodes that don't count. Rounds: as many as the longest way has branching nodes, and the logarithm of its
     longest chain.
     """
-    rounds = Rounds(edges.sparkSession, "reach")
-    e = rounds.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    parts = strong_components(e).select("node", "component")
-    known = nodes.where("node is not null").select("node", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted")).groupBy("node").agg(F.max("counted").alias("counted"))
-    member = rounds.put(known.join(parts, "node", "full").select("node", F.coalesce("component", "node").alias("c"), F.coalesce("counted", F.lit(False)).alias("counted")))
+    whole = Rounds(edges.sparkSession, "reach")
+    rounds, first, scc = whole.part("reach"), whole.part("reach"), whole.part("scc")
+    dag = first.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    cyclic = rounds.put(searched_components(dag, scc).where("size > 1").select("node", "component"))
+    scc.clear()
+    known = nodes.where("node is not null").select("node", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
+    ends = dag.select(F.col("src").alias("node")).unionByName(dag.select(F.col("dst").alias("node"))).withColumn("counted", F.lit(False))
+    every = known.unionByName(ends).groupBy("node").agg(F.max("counted").alias("counted"))
+    member = rounds.put(every.join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "counted"))
     base = rounds.put(member.groupBy("c").agg(F.theta_sketch_agg(F.when(F.col("counted"), F.col("node").cast("string")), bits).alias("own")))
-    of = lambda end: member.select(F.col("node").alias(end), F.col("c").alias(f"c_{end}"))
-    dag = rounds.put(e.join(of("src"), "src").join(of("dst"), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct())
+    if not cyclic.isEmpty():  # else each node is a component
+        of = lambda end: cyclic.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        led = dag.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst"))
+        dag = first.put(led.where("src <> dst").distinct())
     outs = dag.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
     chain = rounds.put(outs.where("n = 1").select(F.col("src").alias("c"), "to").join(base, "c").select("c", "to", F.col("own").alias("sketch"), F.lit(True).alias("moved")))
     while not chain.where("moved").isEmpty():
@@ -47,22 +53,28 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, counted: Column | None = Non
         chain = rounds.put(chain.join(ahead, "to", "left").select("c", F.coalesce("then", "to").alias("to"), both.alias("sketch"), F.col("then").isNotNull().alias("moved")))
     inside = chain.select(F.col("c").alias("dst"), F.col("to").alias("end"), F.col("sketch").alias("along"))
     wide = dag.join(chain.select(F.col("c").alias("src")), "src", "left_anti").join(inside, "dst", "left")
-    left, n = rounds.counted(wide.select("src", F.coalesce("end", "dst").alias("dst"), "along"))
+    open_ = whole.part("left")  # the edges that are left, cleared as soon as fewer are
+    left, n = open_.counted(wide.select("src", F.coalesce("end", "dst").alias("dst"), "along"))
+    first.clear()
     anchors = base.join(chain.select("c"), "c", "left_anti")
     done = rounds.put(anchors.join(left.select(F.col("src").alias("c")), "c", "left_anti").select("c", F.col("own").alias("sketch")))
     while n:
-        waits = left.join(done.select(F.col("c").alias("dst")), "dst", "left_anti").select("src").distinct()
-        ready = rounds.put(left.join(waits, "src", "left_anti"))
-        came = ready.join(done.withColumnsRenamed({"c": "dst", "sketch": "far"}), "dst")
-        pieces = came.select("src", "far").distinct().unionByName(came.where("along is not null").select("src", F.col("along").alias("far")))
-        pieces = pieces.unionByName(ready.select(F.col("src").alias("c")).distinct().join(base, "c").select(F.col("c").alias("src"), F.col("own").alias("far")))
-        new = rounds.put(pieces.groupBy(F.col("src").alias("c")).agg(F.theta_union_agg("far", F.lit(bits)).alias("sketch")))
-        done = done.unionByName(new)
-        left, n = rounds.counted(left.join(new.select(F.col("c").alias("src")), "src", "left_anti"))
+        waits = rounds.put(left.join(done.select(F.col("c").alias("dst")), "dst", "left_anti").select("src").distinct())
+        ready = left.join(waits, "src", "left_anti")
+        pieces = ready.select("src", "dst").join(done.withColumnsRenamed({"c": "dst", "sketch": "far"}), "dst").select("src", "far")
+        pieces = pieces.unionByName(ready.where("along is not null").select("src", F.col("along").alias("far")))
+        come = pieces.groupBy(F.col("src").alias("c")).agg(F.theta_union_agg("far", F.lit(bits)).alias("far"))
+        done = done.unionByName(rounds.put(come.join(base, "c").select("c", F.theta_union("own", "far", F.lit(bits)).alias("sketch"))))
+        past, open_ = open_, whole.part("left")
+        left, n = open_.counted(left.join(waits, "src", "left_semi"))
+        past.clear()
     far = done.withColumnsRenamed({"c": "to", "sketch": "far"})
     chained = chain.join(far, "to").select("c", F.theta_union("sketch", "far", F.lit(bits)).alias("sketch"))
-    whole = done.unionByName(chained).select("c", F.theta_sketch_estimate("sketch").alias("reach"))
-    return rounds.put(member.join(whole, "c").select("node", "reach"))
+    sizes = done.unionByName(chained).select("c", F.theta_sketch_estimate("sketch").alias("reach"))
+    out = whole.put(member.join(sizes, "c").select("node", "reach"))
+    for part in (rounds, open_):
+        part.clear()
+    return out
 
 
 def best_cover(covers: DataFrame, scores: DataFrame) -> DataFrame:

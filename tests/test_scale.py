@@ -227,3 +227,19 @@ def test_bypasses_follow_only_what_a_seed_cuts_off(spark, monkeypatch):
     got = {(r.seed, r.entry, r.observation): r.bypass for r in entrypoints.bypasses(ways, around, wanted, Rounds(spark, "test")).collect()}
     assert got == {("o0", "c0", "p"): 3, ("o1", "c1", "p"): 3} | {(f"o{i}", "top", "p"): 3 for i in range(n)}
     assert max(sizes) < 4 * n  # the searches took n * 3 * n rows
+
+
+def test_reach_keeps_few_tables(spark, monkeypatch, tmp_path):
+    """All edges were laid down five times, and no table went before the session did."""
+    from basalt.operators import store
+
+    monkeypatch.setattr(store, "folder", lambda spark: str(tmp_path))
+    sizes, put = [], Rounds.put
+    monkeypatch.setattr(Rounds, "put", lambda self, df: (sizes.append((out := put(self, df)).count()), out)[1])
+    pairs = [(f"a{i}", f"b{j}") for i in range(6) for j in range(10)] + [("r", f"a{i}") for i in range(6)] + [("b0", "x"), ("x", "y"), ("y", "x")]
+    edges = spark.createDataFrame(pairs + pairs[:5] + [("r", "r"), ("r", None)], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in {n for p in pairs for n in p} - {"b9"}], "node string")
+    got = {r.node: r.reach for r in cuts.reach_sizes(edges, nodes).collect()}
+    assert got == {"r": 18, "x": 2, "y": 2, "b0": 3, "b9": 0} | {f"a{i}": 12 for i in range(6)} | {f"b{j}": 1 for j in range(1, 9)}
+    assert sum(n >= 60 for n in sizes) <= 3  # the edges, these between components, and what is left of them
+    assert len([t for t in tmp_path.glob("*/*") if t.is_dir()]) == 1
