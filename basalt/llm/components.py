@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Stash
@@ -32,10 +32,10 @@ def components(edges: DataFrame, stash: Stash, a: str = "a", b: str = "b") -> Da
         up = put(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")), 2 * n, "up")
         while True:
             above = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            jumped = put(up.join(above, "p").select("v", F.col("p").alias("old"), F.col("pp").alias("p")), 2 * n, "up")
-            moved = jumped.where("old <> p").limit(1).count()
-            up = jumped.select("v", "p")
-            if not moved:
+            moved = Observation()  # told by the write itself
+            jumped = up.join(above, "p").select("v", F.col("p").alias("old"), F.col("pp").alias("p")).observe(moved, F.count_if(F.col("old") != F.col("p")).alias("n"))
+            up = put(jumped.select("v", "p"), 2 * n, "up")
+            if not moved.get["n"]:
                 break
         labels = up.select("v", F.col("p").alias("root")) if labels is None else put(labels.join(up.select(F.col("v").alias("root"), F.col("p").alias("r")), "root", "left").select("v", F.coalesce("r", "root").alias("root")), vertices, "labels")
         ca, cb = up.select(F.col("v").alias("a"), F.col("p").alias("ra")), up.select(F.col("v").alias("b"), F.col("p").alias("rb"))

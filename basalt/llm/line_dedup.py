@@ -165,13 +165,19 @@ def loose_links(lines: DataFrame, parts: int, similarity: float) -> DataFrame:
     return lines.select("h", "line").mapInArrow(emit, "part int, blob binary").groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is looked up: its keys are unique and its rows few in each partition, so the other
+    side (texts, places of lines) is not sorted."""
+    return df.hint("shuffle_hash")
+
+
 def similar_lines(texts: DataFrame, entries: int, similarity: float, stash: Stash) -> DataFrame:
     """(a, b): digests; edges that span each component of lines that are that similar. entries: of the bands, about."""
     n, bands = width(texts.sparkSession), banding(similarity)[0]
     lines = stash.put(lines_of(texts, stash.put(in_company(texts, max(n, -(-entries // TASK_ENTRIES)), similarity), "company")), "lines")
     count = lines.count()
     groups = components(stash.put(loose_links(lines, max(n, -(-count * bands // SKETCHED_ENTRIES)), similarity), "loose"), stash)
-    members = lines.join(groups.select(F.col("v").alias("h"), "root"), "h")
+    members = lines.join(hashed(groups.select(F.col("v").alias("h"), "root")), "h")
     members = stash.put(members.select("root", "cls", F.lit(1).alias("copies"), F.col("line").cast("binary").alias("shingles")), "members")
     linked = exact_links(in_blocks(members, 1, TASK_LINES), similarity, shingle_sets)
     return linked.select(F.col("cls").alias("a"), F.col("to").alias("b"))
@@ -193,16 +199,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = stash.put(split.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("id", "th", "row", "place", F.unhex(F.md5(F.col("line").cast("binary"))).alias("cls")), "places")
     comp = components(similar_lines(texts, placed.count() * banding(similarity)[0], similarity, stash), stash)
     classes = placed.groupBy("cls").agg(F.count("*").alias("n"))
-    grouped = classes.join(comp, classes["cls"] == comp["v"], "left").where("n > 1 or root is not null").select("cls", F.coalesce("root", "cls").alias("root"))
-    members = stash.put(placed.join(grouped, "cls").select("root", "id", "th", "row", "place"), "members")
+    grouped = classes.join(hashed(comp), classes["cls"] == comp["v"], "left").where("n > 1 or root is not null").select("cls", F.coalesce("root", "cls").alias("root"))
+    members = stash.put(placed.join(hashed(grouped), "cls").select("root", "id", "th", "row", "place"), "members")
     first = members.groupBy("root").agg(F.min(F.struct("id", "th", "row", "place")).alias("first")).select("root", F.col("first.row").alias("stay_row"), F.col("first.place").alias("stay_place"))
-    gone = members.select("root", "row", "place").join(first, "root").where("row <> stay_row or place <> stay_place")
+    gone = members.select("root", "row", "place").join(hashed(first), "root").where("row <> stay_row or place <> stay_place")
     places, flags = free_name(docs, "__places"), free_name(docs, "__flags")
     gone = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list("place")).alias(places))
     # a flag per line up to the last that goes: looked up by place, where the list would be searched for each line
     before = F.slice(F.concat(F.array(F.lit(-1)), places), F.lit(1), F.size(places))
     up_to = F.zip_with(places, before, lambda p, q: F.concat(F.array_repeat(F.lit(False), p - q - 1), F.array(F.lit(True))))
-    rows = rows.join(gone.withColumn(flags, F.flatten(up_to)), row, "left")
+    rows = rows.join(hashed(gone.withColumn(flags, F.flatten(up_to))), row, "left")
     lines = F.split(text_col, "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col(flags), i), F.lit(False))), "\n")
     text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(left)

@@ -176,3 +176,12 @@ def test_one_more_shard(load, most, between):
 def test_stray_quote_marks_do_not_hide_abuse():
     s = Scorer(["idiot"], ["idiot"], frozenset())
     assert s.figures('a 5" pipe\nyou idiot\nand a 6" one')[1] > 0 and s.figures('so "what an idiot\nyou are"')[3] == 0
+
+
+def test_texts_are_not_sorted_for_the_places_of_lines(spark):
+    """Texts went through the sort of a merge join to meet the places of the lines that go."""
+    docs = spark.createDataFrame([(i, f"a line that all documents share here\nown line number {i} {i * 7919}") for i in range(8)], "doc_id long, text string")
+    out = dedup_lines(docs)
+    assert sorted(r.n for r in out.selectExpr("size(removed) AS n").collect()) == [0] + [1] * 7
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
