@@ -21,6 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import regex
 
+from .common import held
+
 BASE = -1
 #: Words and prefixes that a worker remembers; symbols between two looks for stable tokens.
 MEMO_WORDS, STEP = 400_000, 16
@@ -436,14 +438,14 @@ class Encoder:
 
 
 _DOUBLE_SPACE = re.compile(r" \s")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    encoders = held("tokens")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def library(path: str):
@@ -453,10 +455,10 @@ def library(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    key = f"lib:{path}"
-    if key not in _ENCODERS:
+    key, encoders = f"lib:{path}", held("tokens")
+    if key not in encoders:
         t = Tokenizer.from_file(path)
         t.no_padding()
         t.no_truncation()
-        _ENCODERS[key] = t
-    return _ENCODERS[key]
+        encoders[key] = t
+    return encoders[key]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .blobs import bitmap, deal, in_pairs, inside, unique_pairs
 from .bpe import Memo
-from .common import Stash, width
+from .common import Stash, held, width
 from .components import components
 from .minhash import band_keys, signatures, windows
 from .tokens import slices
@@ -40,6 +40,8 @@ DEVIATIONS = 5.25
 #: are laid out at once; members of a group that is compared pair by pair.
 BLOCK, BLOCK_SHINGLES, TASK_DOCS, RUN, FEW = 800, 2_000_000, 1500, 500_000, 5
 TASK_ENTRIES = 500_000
+#: Words whose hashes a worker remembers.
+MEMO_HASHES = 500_000
 #: Characters that are shingled at once; sized for a processor's cache.
 SLICE_CHARS = 250_000
 ENTRY = np.dtype([("key", "<u4"), ("rest", "V3"), ("id", "<i8"), ("sketch", "V32")])
@@ -64,9 +66,6 @@ def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-_WORDS = Memo(_word_hash, 500_000)
-
-
 def words_of(text: str | None) -> list[str]:
     """Runs without ASCII white space."""
     t = text or ""
@@ -78,7 +77,10 @@ _BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 def doc_shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Per text: the sorted distinct hashes of its word shingles."""
-    get = _WORDS.__getitem__
+    memo = held("shingles")
+    if not memo:
+        memo["hash"] = Memo(_word_hash, MEMO_HASHES)
+    get = memo["hash"].__getitem__
     lists = [[get(w) for w in words_of(t) if w] for t in texts]
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter((h for x in lists for h in x), np.uint64, int(lens.sum()))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import CHAR_BYTES, MEMO_WORDS, Encoder, Memo, encoder, library
+from .common import held
 
 #: Characters of text that are encoded before rows leave, ids that the decoder takes at once, chunks a worker remembers.
 BATCH_CHARS, DECODE_IDS = 2_000_000, 8192
@@ -68,9 +69,6 @@ class FastIds:
         return b"".join([b"".join(map(get, chunks)) if special is None else self.special[special] for special, chunks in self.enc.segments(text or "")])
 
 
-_FAST: dict[tuple[str, str], FastIds] = {}
-
-
 def core_words(enc: Encoder) -> Callable[[str], list[int]]:
     """Ids of a word by the compiled merge loop of tiktoken, fed with the tokenizer file's own vocabulary.
 
@@ -93,15 +91,16 @@ def core_words(enc: Encoder) -> Callable[[str], list[int]]:
 
 def fast_ids(path: str, by: str = "transducer") -> FastIds:
     """by: what encodes new words: 'transducer' (this package's own), 'library' (tokenizers), 'core' (tiktoken's loop)."""
-    if (path, by) not in _FAST:
+    fast = held("tokens")
+    if (path, by) not in fast:
         enc = encoder(path)
         if by == "library":
             lib = library(path)
             make = lambda w: lib.encode(w, add_special_tokens=False).ids
         else:
             make = core_words(enc) if by == "core" else enc.word_ids
-        _FAST[path, by] = FastIds(enc, make, by != "core")
-    return _FAST[path, by]
+        fast[path, by] = FastIds(enc, make, by != "core")
+    return fast[path, by]
 
 
 def slices(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[range]:

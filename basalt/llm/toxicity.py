@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import Stash
+from .common import Stash, held, let_go
 from .tokens import free_name
 
 FOLDS = 5
@@ -193,15 +193,13 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 def scorer(terms: list[str], loose: list[str], clean: list[str]) -> Scorer:
-    key = (tuple(terms), tuple(loose), tuple(clean))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(terms, loose, frozenset(clean))
-    return _SCORERS[key]
+    key, scorers = (tuple(terms), tuple(loose), tuple(clean)), held("toxicity")
+    if key not in scorers:
+        scorers.clear()
+        let_go()  # a scorer and its memos refer to each other
+        scorers[key] = Scorer(terms, loose, frozenset(clean))
+    return scorers[key]
 
 
 def held_out(id_col: str):
@@ -219,6 +217,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word, t, c, a: toxic and clean documents that hold it, and clean ones of the first half; '' counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")  # what the worker remembers for others goes before it counts
         strip = bare
         sums = {"t": Counter(), "c": Counter(), "a": Counter()}
 
@@ -252,6 +251,7 @@ def contexts(rows: DataFrame, words: list[str]) -> DataFrame:
     wanted = frozenset(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")
         strip = bare
         for batch in batches:
             found = set()

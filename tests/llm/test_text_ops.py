@@ -1,6 +1,7 @@
 """Tokenising, packing, token files and toxicity against brute force, round trips and the tokenizers library."""
 
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from basalt.llm.common import ship
 from basalt.llm.packing import best_fit, pack_documents
 from basalt.llm.token_files import documents_of, read_token_files, write_token_files
 from basalt.llm.tokens import fast_ids, transcode
-from basalt.llm.toxicity import Scorer, Trie, allowed_edits, train
+from basalt.llm.toxicity import Scorer, Trie, allowed_edits, scorer, train
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD = ["", " ", "  a  b \n\n c ", "\x1c a\x1d", "İSTANBUL ΣΑΣ", "x<|endoftext|> y", "a" * 1500, "ab" * 600, "é ́x", "the \t\t\n x  ", "don't I'LL 12345", "日本語🎉👩‍👩‍👧", "a\u0085b c", "\n x \n", ":\U0003d000", "a\U0003d000  b\ue000 :\U0003d000"]
@@ -32,6 +33,23 @@ def test_encoders_equal_the_library(path, by):
         assert bpe.encoder(path).decode(want) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_a_process_remembers_for_one_operator():
+    """Spark's workers serve one stage after another; tables and memos of all operators stood in each of them."""
+    from basalt.llm.ngram_join import doc_shingles
+
+    fast = fast_ids(BYTE, "core")
+    want, gone = fast("a few words"), weakref.ref(fast)
+    assert fast_ids(BYTE, "core") is fast
+    del fast
+    first = weakref.ref(scorer(["awful"], ["awful"], []))
+    assert gone() is None and scorer(["awful"], ["awful"], []) is first()
+    second = weakref.ref(scorer(["awful"], ["awful"], ["lawful"]))
+    assert first() is None and second() is not None
+    sets = doc_shingles(["one two three four five six"], 5)
+    assert second() is None and len(sets[0]) == 2
+    assert fast_ids(BYTE, "core")("a few words") == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text(t):
