@@ -109,6 +109,20 @@ def test_hunks_are_not_made_unique_as_pairs(spark):
     assert plan.lstrip().startswith("Union")  # and the first part is a join that nothing follows
 
 
+def test_pairs_of_single_columns_are_laid_out_from_plain_values(spark):
+    """Each value was a struct of one field in its block, and was unpacked for every pair."""
+    from basalt.operators.pairs import met
+
+    left = spark.createDataFrame([(1, "a"), (None, "a"), (2, "b"), (3, None)], "unit long, file string")
+    right = spark.createDataFrame([("x", "a"), (None, "a"), ("y", "b"), ("z", None)], "hunk string, file string")
+    out = met(left, right, ["file"], Rounds(spark, "plain"), block=1)
+    assert out.columns == ["unit", "hunk"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x"), (1, None), (None, "x"), (None, None), (2, "y")], key=str)
+    assert "array<struct" not in out._jdf.queryExecution().executedPlan().toString()
+    wide = met(left, right.withColumn("n", F.length("file")), ["file"], Rounds(spark, "plain"))
+    assert wide.columns == ["unit", "hunk", "n"] and wide.where("n = 1").count() == 5
+
+
 def _pairs_leave_unshuffled(df):
     """No exchange, sort or aggregate stands above the explosion that makes the pairs."""
     top = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
