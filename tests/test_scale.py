@@ -265,3 +265,18 @@ def test_reach_keeps_few_tables(spark, monkeypatch, tmp_path):
     assert got == {"r": 18, "x": 2, "y": 2, "b0": 3, "b9": 0} | {f"a{i}": 12 for i in range(6)} | {f"b{j}": 1 for j in range(1, 9)}
     assert sum(n >= 60 for n in sizes) <= 3  # the edges, these between components, and what is left of them
     assert len([t for t in tmp_path.glob("*/*") if t.is_dir()]) == 1
+
+
+def test_entrypoints_lay_edges_down_once(spark, monkeypatch):
+    """Edges and the ways between were written for each search, and bypasses took two more tables of them."""
+    tables, put = [], Rounds.put
+    monkeypatch.setattr(Rounds, "put", lambda self, df: (tables.append(set(df.columns)), put(self, df))[1])
+    pairs = [(f"c{i}", f"o{j}") for i in range(8) for j in range(12)] + [(f"o{j}", f"p{j % 2}") for j in range(12)]
+    edges = spark.createDataFrame([(f"{a}>{b}", 0, a, b, "calls", None, 1.0, ["x"]) for a, b in pairs], "edge_id string, pos int, src string, dst string, kind string, condition string, confidence double, evidence array<string>")
+    node = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    nodes = node({n for p in pairs for n in p}).withColumn("controllable", F.col("node").startswith("c"))
+    got = entrypoints.recover_entrypoints(edges, nodes, node(f"o{j}" for j in range(12)), node(["p0", "p1"]))
+    rows = got.paths.collect()
+    assert {(r.seed, r.entry, r.observation, r.bypass) for r in rows} == {(f"o{j}", f"c{i}", f"p{j % 2}", 2) for i in range(8) for j in range(12)} and len(rows) == 96
+    assert sum("edge_id" in t for t in tables) == 2  # all edges, and those that lead on
+    assert sum(t == {"src", "dst", "length"} for t in tables) == 1
