@@ -1,7 +1,8 @@
 """Repair cuts with their own blast: how far each node reaches, for all nodes at once, and the cut that covers all units.
 
-Reach is counted by theta sketches (a set of the least hashes), never by pairs: cycles are made one node, chains are added
-up by doubling steps, and what branches takes its targets' sketches once they are whole. A sketch of SKETCH values is the
+Reach is counted by theta sketches (a set of the least hashes), never by pairs: nodes that lead nowhere go into the sketches
+of what leads to them and their edges are read no more, cycles are made one node, chains are added up by doubling steps, and
+what branches takes its targets' sketches once they are whole. A sketch of SKETCH values is the
 set itself up to that many nodes, so counts are exact up to it, and estimates with an error of some 3 % beyond.
 """
 
@@ -32,19 +33,29 @@ def reach_sizes(edges: DataFrame, nodes: DataFrame, counted: Column | None = Non
     longest chain.
     """
     whole = Rounds(edges.sparkSession, "reach")
-    rounds, first, scc = whole.part("reach"), whole.part("reach"), whole.part("scc")
-    dag = first.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    rounds, first, scc, raw = whole.part("reach"), whole.part("reach"), whole.part("scc"), whole.part("pairs")
+    pairs = raw.put(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst"))
+    known = nodes.where("node is not null").select("node", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"), F.lit(False).alias("leads"))
+    end = lambda c, leads: pairs.select(F.col(c).alias("node"), F.lit(False).alias("counted"), F.lit(leads).alias("leads"))
+    every = known.unionByName(end("src", True)).unionByName(end("dst", False))
+    every = rounds.put(every.groupBy("node").agg(F.max("counted").alias("counted"), F.max("leads").alias("leads")))
+    # an edge to what leads nowhere only adds that node to its source's own, so no later step reads it
+    split = first.put(pairs.join(every.withColumnRenamed("node", "dst"), "dst").where("counted or leads"))
+    raw.clear()
+    dag = first.put(split.where("leads").select("src", "dst").distinct())
     cyclic = rounds.put(searched_components(dag, scc).where("size > 1").select("node", "component"))
     scc.clear()
-    known = nodes.where("node is not null").select("node", (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"))
-    ends = dag.select(F.col("src").alias("node")).unionByName(dag.select(F.col("dst").alias("node"))).withColumn("counted", F.lit(False))
-    every = known.unionByName(ends).groupBy("node").agg(F.max("counted").alias("counted"))
-    member = rounds.put(every.join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "counted"))
-    base = rounds.put(member.groupBy("c").agg(F.theta_sketch_agg(F.when(F.col("counted"), F.col("node").cast("string")), bits).alias("own")))
-    if not cyclic.isEmpty():  # else each node is a component
+    held = every.select("node", F.when(F.col("counted"), F.col("node").cast("string")).alias("name")).unionByName(split.where("not leads").select(F.col("src").alias("node"), F.col("dst").cast("string").alias("name")))
+    if cyclic.isEmpty():  # each node is a component
+        member = every.select("node", F.col("node").alias("c"))
+        held = held.withColumnRenamed("node", "c")
+    else:
+        within = lambda df: df.join(cyclic, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        member, held = rounds.put(within(every.select("node"))), within(held)
         of = lambda end: cyclic.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
         led = dag.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst"))
         dag = first.put(led.where("src <> dst").distinct())
+    base = rounds.put(held.groupBy("c").agg(F.theta_sketch_agg("name", bits).alias("own")))
     outs = dag.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"))
     chain = rounds.put(outs.where("n = 1").select(F.col("src").alias("c"), "to").join(base, "c").select("c", "to", F.col("own").alias("sketch"), F.lit(True).alias("moved")))
     while not chain.where("moved").isEmpty():

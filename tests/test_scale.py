@@ -280,3 +280,22 @@ def test_entrypoints_lay_edges_down_once(spark, monkeypatch):
     assert {(r.seed, r.entry, r.observation, r.bypass) for r in rows} == {(f"o{j}", f"c{i}", f"p{j % 2}", 2) for i in range(8) for j in range(12)} and len(rows) == 96
     assert sum("edge_id" in t for t in tables) == 2  # all edges, and those that lead on
     assert sum(t == {"src", "dst", "length"} for t in tables) == 1
+
+
+def test_reach_reads_edges_to_ends_once(spark, monkeypatch):
+    """Edges to nodes that lead nowhere were searched for cycles, waited for their ends and were joined in rounds."""
+    left, put = [], Rounds.put
+
+    def counted(self, df):
+        out = put(self, df)
+        if {"src", "dst"} < set(df.columns) or self.root.rsplit("/", 1)[-1].startswith("scc"):
+            left.append(out.count())
+        return out
+
+    pairs = [(f"a{i}", f"b{j}") for i in range(6) for j in range(10)] + [("r", f"a{i}") for i in range(6)] + [("q", "a1"), ("q", "b1"), ("b3", "b3")]
+    edges = spark.createDataFrame(pairs + pairs[:5], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in {n for p in pairs for n in p} - {"b9"}], "node string")
+    monkeypatch.setattr(Rounds, "put", counted)
+    got = {r.node: r.reach for r in cuts.reach_sizes(edges, nodes, F.col("node") != "b2").collect()}
+    assert got == {"r": 15, "q": 10, "b2": 0, "b9": 0} | {f"a{i}": 9 for i in range(6)} | {f"b{j}": 1 for j in (0, 1, 3, 4, 5, 6, 7, 8)}
+    assert sorted(left)[-1] > 50 and sorted(left)[-2] <= 8  # only the table that tells edges apart holds them all
